@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding, url_tree
+from . import chat_format, mixing, quality, sharding, url_tree
 from .common import read
 
 #: Rules (verdict, host, path), in the order given (fixed values).
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mixed(read(spark, sf_dir, "documents")))
 
@@ -32,6 +36,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_sharding": op3_sharding, "op8_mixing": op8_mixing, "op10_url_filter": op10_url_filter}
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op3_sharding": op3_sharding,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_url_filter": op10_url_filter,
+}
 
 ORACLES: dict[str, str] = {}
