@@ -46,3 +46,23 @@ def bucket_bits(rows: int, per_bucket: int = 4096, least: int = 6, most: int = 2
 def top_bits(key: Column, bits: int) -> Column:
     """The leading bits of a signed 64-bit hash, numbered from 0 in the order of the hash."""
     return F.shiftright(key, 64 - bits) + F.lit(1 << (bits - 1))
+
+
+#: Bits of with_maybe's bitmap: 4 MB, however many ids there are.
+FILTER_BITS = 25
+
+
+def with_maybe(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """df with _maybe: false only where the value of column name (a long) is not in column name of ids.
+
+    The ids are folded into a bitmap of fixed size, 4 kB for each of up to 1025
+    rows, which is what is broadcast. It spares a shuffle of the rows it rules
+    out; those left need a join with ids to be sure.
+    """
+    slot = lambda: F.pmod(F.xxhash64(F.lit(5), name), F.lit(1 << FILTER_BITS))
+    maps = ids.filter(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(slot()).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("_bits"))
+    bit = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substr("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    joined = df.withColumn("_slot", F.bitmap_bucket_number(slot())).join(F.broadcast(maps), F.col("_slot") == F.col("_part"), "left")
+    return joined.withColumn("_maybe", F.coalesce(held & F.col(name).isNotNull(), F.lit(False))).drop("_slot", "_part", "_bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality, sharding, url_tree
+from . import chat_format, mixing, quality, setsketch, sharding, url_tree
 from .common import read
 
 #: Rules (verdict, host, path), in the order given (fixed values).
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mixed(read(spark, sf_dir, "documents")))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op7_setsketch": op7_setsketch,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
 }
