@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality, setsketch, sharding, url_tree
+from . import chat_format, mixing, pieces, quality, setsketch, sharding, url_tree
 from .common import read
 
 #: Rules (verdict, host, path), in the order given (fixed values).
@@ -36,6 +36,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mixed(read(spark, sf_dir, "documents")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.PieceModel.load(pieces.DEFAULT_MODEL))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op7_setsketch": op7_setsketch,
     "op8_mixing": op8_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
 }
 
