@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_text, mixing, pieces, quality, setsketch, sharding, url_tree
+from . import chat_format, embeddings, html_text, mixing, pieces, quality, setsketch, sharding, url_tree
 from .common import read
 
 #: Rules (verdict, host, path), in the order given (fixed values).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -49,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pigeonhole": op1_pigeonhole,
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
