@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,38 @@ def with_maybe(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     held = F.call_function("getbit", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
     joined = df.withColumn("_slot", F.bitmap_bucket_number(slot())).join(F.broadcast(maps), F.col("_slot") == F.col("_part"), "left")
     return joined.withColumn("_maybe", F.coalesce(held & F.col(name).isNotNull(), F.lit(False))).drop("_slot", "_part", "_bits")
+
+
+def tiled(rows: DataFrame, where: list[str], side_rows: int, weight: str | None = None, side_weight: int = 0) -> DataFrame:
+    """rows (with node long) repeated into tiles, in which all pairs of rows of one group (equal where) meet exactly once.
+
+    A group is dealt into chunks by a hash of node, so many that a chunk holds
+    about side_rows rows, and about side_weight of the column weight, at most.
+    Tile (i, j), i <= j, gets chunk i as side 0 and chunk j as side 1; tile (i, i)
+    gets its chunk once, as side 0. Groups of one row give no tile.
+    """
+    size = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
+    groups = rows.groupBy(*where).agg(*size).filter("_n > 1")
+    chunks = F.ceil(F.col("_n") / side_rows)
+    if weight:
+        chunks = F.greatest(chunks, F.ceil(F.col("_w") / side_weight))
+    groups = groups.select(*where, chunks.cast("int").alias("_c"))
+    spread = rows.join(groups, where).withColumn("_k", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("_c")).cast("int"))
+    numbers = F.sequence(F.lit(0), F.col("_c") - 1)
+    tile = F.transform(numbers, lambda o: F.struct(F.least(o, F.col("_k")).alias("i"), F.greatest(o, F.col("_k")).alias("j"), (o < F.col("_k")).cast("int").alias("side")))
+    spread = spread.withColumn("_t", F.explode(tile))
+    return spread.select(*rows.columns, F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.side").alias("side"))
+
+
+def roots(count: int, i, j):
+    """Least reachable number of each of count nodes, given linked pairs (numpy arrays)."""
+    root = np.arange(count)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        for at in (root[i], root[j], i, j):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -8,9 +8,11 @@ compare, given both set sizes, decides which pairs can reach the threshold; full
 shingle sets confirm.
 
 Documents of equal shingle sets are one class from the start. Every other class
-is first compared with the best of the least members of its buckets. Only then
-do buckets that still hold two components or more propose all pairs across
-components, so a group of near copies costs a pair for each member, and no link
+is first compared with the best of the least members of its buckets. Buckets that
+then still hold two components or more are searched in tiles: registers join what
+may be linked across components into groups, and full sets are counted against
+each other within the groups. Tiles are bounded, and return a row for each member
+instead of each pair, so groups of near copies cost no pairs of rows, and no link
 between different components is passed over.
 """
 
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_maybe
+from .common import cut, roots, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -43,7 +46,7 @@ class Sketch:
     most: int = 32766
     seed: int = 11
     #: Standard errors below the threshold at which the likelihood still lets a pair through.
-    slack: float = 6.0
+    slack: float = 5.0
 
     @property
     def size(self) -> int:
@@ -222,6 +225,95 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, n: int, percent: int) ->
     return both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+#: Rows, and shingles, of a tile's side.
+SIDE_ROWS, SIDE_SHINGLES = 512, 500_000
+
+
+def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshold: float) -> DataFrame:
+    """From rows (key, node, component): edges (node, root) that join, bucket by bucket, what registers let reach the threshold across components.
+
+    Within a tile, a row is compared with one row of each other group so far, and
+    only if that fails with the rest of it; what has no likely partner across
+    components is left out.
+    """
+    held = rows.join(classes.select("node", "n_shingles", "registers"), "node")
+    tiles = tiled(held.select("key", "node", "component", "n_shingles", "registers"), ["key"], SIDE_ROWS)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        regs = np.frombuffer(b"".join(pdf["registers"]), np.int16).reshape(len(pdf), sketch.size)
+        n = pdf["n_shingles"].to_numpy(float)
+        _, label = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        start = label.copy()
+        left = np.flatnonzero(pdf["side"].to_numpy() == 0)
+        right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
+
+        def passes(r: int, others: np.ndarray) -> np.ndarray:
+            others = others[np.minimum(n[r], n[others]) >= threshold * np.maximum(n[r], n[others]) - 1e-9]
+            if not len(others):
+                return others
+            ok = sketch.can_reach(regs[r][None, :], regs[others], n[r], n[others], threshold)
+            return others[ok]
+
+        for r in left.tolist():
+            rest = right[label[right] != label[r]]
+            if same:
+                rest = rest[rest < r]
+            if not len(rest):
+                continue
+            _, first = np.unique(label[rest], return_index=True)
+            for o in passes(r, rest[first]).tolist():
+                label[label == label[o]] = label[r]
+            for o in passes(r, rest[label[rest] != label[r]]).tolist():
+                label[label == label[o]] = label[r]
+        grown = np.zeros(label.max() + 1, np.int64)
+        for value in np.unique(label):
+            grown[value] = len(np.unique(start[label == value])) > 1
+        keep = grown[label] > 0
+        node = pdf["node"].to_numpy()
+        least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        return pd.DataFrame({"node": node[keep], "root": least[label][keep]})
+
+    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "node long, root long").distinct()
+
+
+def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """From (node, coarse): edges (a, b) that span all exact links between nodes of a group, from tiles in which full sets are counted against each other."""
+    sets = _sets_of(documents, groups.select("node").distinct(), n)
+    rows = groups.join(sets, "node").select("coarse", "node", "hashes", F.size("hashes").cast("long").alias("n"))
+    tiles = tiled(rows, ["coarse"], SIDE_ROWS, "n", SIDE_SHINGLES)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        left = np.flatnonzero(pdf["side"].to_numpy() == 0)
+        right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
+        size = pdf["n"].to_numpy()
+        _, column, times = np.unique(np.concatenate(pdf["hashes"].to_list()), return_inverse=True, return_counts=True)
+        shared = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+        row = np.repeat(np.arange(len(pdf)), size)
+        row, column = row[shared >= 0], shared[shared >= 0]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        slab = 4096
+        cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + slab, slab))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            dense = np.zeros((len(pdf), slab), np.float32)
+            dense[row[a:b], column[a:b] % slab] = 1
+            common += dense[left] @ dense[right].T
+        common = np.rint(common).astype(np.int64)
+        linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        i, j = np.nonzero(linked)
+        node = pdf["node"].to_numpy()
+        root = roots(len(pdf), left[i], right[j])
+        # a root is a row of this tile, so (node, node of the root) is a chain of links
+        moved = root != np.arange(len(pdf))
+        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+
+    return tiles.groupBy("coarse", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
     """One row per row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -251,19 +343,15 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
     links = cut(_confirmed(tried, documents, n, percent).union(own))
     found = components(links)
 
-    # second round: pairs across components
-    pair_votes = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # second round: buckets that still hold two components or more
+    pairs = buckets.filter("held = 2").select("key", F.explode(F.array("low", "high")).alias("node"))
+    labelled = pairs.union(members.select("key", "node")).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
     open_ = cut(labelled.join(mixed, "key"))
-    one, two = (open_.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    across = one.join(two, "key").filter("ca > cb").select("a", "b")
-    across = across.union(pair_votes).distinct()
-    labels = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    across = across.join(labels("a"), "a", "left").join(labels("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    across = across.join(tried.union(tried.select("b", "a")).toDF("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_confirmed(cut(_likely(across, classes, sketch, threshold)), documents, n, percent))
-    final = components(links.union(more)) if more.limit(1).count() else found
+    near = _likely_groups(open_, classes, sketch, threshold)
+    groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    more = cut(_linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent))
+    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.select("n_shingles", "f1", "f2", "node").join(final, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component"))
     joined = rows.drop("registers").join(named, ["n_shingles", "f1", "f2"], "left")
