@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, roots
 from .components import components
 
 
@@ -111,22 +111,6 @@ def _tile(left: np.ndarray, right: np.ndarray, same: bool, block: int, how: Pige
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least reachable number of each of count rows, given pairs."""
-    root = np.arange(count)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = Pigeonhole()) -> DataFrame:
     """One row per row of vectors (vec_id, embedding array<float or double>, label): vec_id, n_links, component_id, kept.
 
@@ -195,7 +179,7 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
         links = np.zeros(len(nodes), np.int64)
         np.add.at(links, p, right["weight"].to_numpy()[j])
         np.add.at(links, q, left["weight"].to_numpy()[i])
-        return pd.DataFrame({"node": nodes, "links": links, "root": nodes[_roots(len(nodes), p, q)] if len(nodes) else nodes})
+        return pd.DataFrame({"node": nodes, "links": links, "root": nodes[roots(len(nodes), p, q)] if len(nodes) else nodes})
 
     found = cut(tiles.groupBy(*where, "i", "kind", "j").applyInPandas(compare, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
