@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embeddings, html_text, mixing, pieces, quality, setsketch, sharding, url_tree
+from . import chat_format, embeddings, html_text, lm, mixing, pieces, quality, setsketch, sharding, url_tree
 from .common import read
 
 #: Rules (verdict, host, path), in the order given (fixed values).
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_html_text": op6_html_text,
     "op7_setsketch": op7_setsketch,
     "op8_mixing": op8_mixing,
