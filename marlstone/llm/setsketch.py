@@ -226,7 +226,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, n: int, percent: int) ->
 
 
 #: Rows, and shingles, of a tile's side.
-SIDE_ROWS, SIDE_SHINGLES = 512, 500_000
+SIDE_ROWS, SIDE_SHINGLES = 2048, 1_000_000
 
 
 def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshold: float) -> DataFrame:
@@ -296,7 +296,7 @@ def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFram
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         common = np.zeros((len(left), len(right)), np.float32)
-        slab = 4096
+        slab = 1024
         cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + slab, slab))
         for a, b in zip(cuts[:-1], cuts[1:]):
             dense = np.zeros((len(pdf), slab), np.float32)
