@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column functions: coercion of raw text, buckets, and small formatting helpers. All are built-in expressions."""

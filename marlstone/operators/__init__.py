@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Operators on DataFrames: envelopes, idempotent ingestion, and the work queue."""

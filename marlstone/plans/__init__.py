@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Query plans: the catalog scenarios, operator queries with their SQL, layouts, and measurement."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from marlstone.plans import scenarios
+
+QUERIES: dict = scenarios.QUERIES
+ORACLES: dict[str, str] = scenarios.ORACLES

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Readers: delimited text, JSON messages, measurements, and the dataset registry."""

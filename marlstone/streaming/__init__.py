@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Structured Streaming: ingestion of files into tables, and the work queue as a stateful fold."""
