@@ -22,7 +22,7 @@ _IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Text bytes handled at once; a longer text is a chunk by itself.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
