@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, roots, tiled, with_maybe
+from .common import by_group, cut, roots, small_batches, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -239,14 +238,16 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
     held = rows.join(classes.select("node", "n_shingles", "registers"), "node")
     tiles = tiled(held.select("key", "node", "component", "n_shingles", "registers"), ["key"], SIDE_ROWS)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        regs = np.frombuffer(b"".join(pdf["registers"]), np.int16).reshape(len(pdf), sketch.size)
-        n = pdf["n_shingles"].to_numpy(float)
-        _, label = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
+        col = {name: tile.column(k) for k, name in enumerate(tile.schema.names)}
+        number = lambda c: col[c].to_numpy(zero_copy_only=False)
+        same = number("i")[0] == number("j")[0]
+        regs = _registers(col["registers"], sketch)
+        n = number("n_shingles").astype(float)
+        _, label = np.unique(number("component"), return_inverse=True)
         start = label.copy()
-        left = np.flatnonzero(pdf["side"].to_numpy() == 0)
-        right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
+        left = np.flatnonzero(number("side") == 0)
+        right = left if same else np.flatnonzero(number("side") == 1)
 
         def passes(r: int, others: np.ndarray) -> np.ndarray:
             others = others[np.minimum(n[r], n[others]) >= threshold * np.maximum(n[r], n[others]) - 1e-9]
@@ -270,28 +271,32 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
         for value in np.unique(label):
             grown[value] = len(np.unique(start[label == value])) > 1
         keep = grown[label] > 0
-        node = pdf["node"].to_numpy()
+        if not keep.any():
+            return None
+        node = number("node")
         least = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label, node)
-        return pd.DataFrame({"node": node[keep], "root": least[label][keep]})
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[label][keep])], names=["node", "root"])
 
-    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "node long, root long").distinct()
+    return by_group(tiles, ["key", "i", "j"], compare, "node long, root long").distinct()
 
 
 def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """From (node, coarse): edges (a, b) that span all exact links between nodes of a group, from tiles in which full sets are counted against each other."""
-    sets = _sets_of(documents, groups.select("node").distinct(), n)
+    sets = _sets_of(documents, groups.select("node"), n)
     rows = groups.join(sets, "node").select("coarse", "node", "hashes", F.size("hashes").cast("long").alias("n"))
     tiles = tiled(rows, ["coarse"], SIDE_ROWS, "n", SIDE_SHINGLES)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        left = np.flatnonzero(pdf["side"].to_numpy() == 0)
-        right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
-        size = pdf["n"].to_numpy()
-        _, column, times = np.unique(np.concatenate(pdf["hashes"].to_list()), return_inverse=True, return_counts=True)
+    def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
+        col = {name: tile.column(k) for k, name in enumerate(tile.schema.names)}
+        number = lambda c: col[c].to_numpy(zero_copy_only=False)
+        same = number("i")[0] == number("j")[0]
+        left = np.flatnonzero(number("side") == 0)
+        right = left if same else np.flatnonzero(number("side") == 1)
+        size = number("n")
+        _, column, times = np.unique(col["hashes"].flatten().to_numpy(), return_inverse=True, return_counts=True)
         shared = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
-        row = np.repeat(np.arange(len(pdf)), size)
+        row = np.repeat(np.arange(len(size)), size)
         row, column = row[shared >= 0], shared[shared >= 0]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
@@ -299,19 +304,19 @@ def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFram
         slab = 1024
         cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + slab, slab))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            dense = np.zeros((len(pdf), slab), np.float32)
+            dense = np.zeros((len(size), slab), np.float32)
             dense[row[a:b], column[a:b] % slab] = 1
             common += dense[left] @ dense[right].T
         common = np.rint(common).astype(np.int64)
         linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
         i, j = np.nonzero(linked)
-        node = pdf["node"].to_numpy()
-        root = roots(len(pdf), left[i], right[j])
+        node = number("node")
+        root = roots(len(size), left[i], right[j])
         # a root is a row of this tile, so (node, node of the root) is a chain of links
-        moved = root != np.arange(len(pdf))
-        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+        moved = root != np.arange(len(size))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"]) if moved.any() else None
 
-    return tiles.groupBy("coarse", "i", "j").applyInPandas(compare, "a long, b long")
+    return by_group(tiles, ["coarse", "i", "j"], compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
@@ -323,6 +328,7 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
     one document. A null doc_id links with nothing, has a null component and is
     kept. Other columns are ignored. An empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     threshold = percent / 100
     rows = cut(sketched(documents, n, sketch))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
@@ -344,11 +350,14 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
     found = components(links)
 
     # second round: buckets that still hold two components or more
-    pairs = buckets.filter("held = 2").select("key", F.explode(F.array("low", "high")).alias("node"))
-    labelled = pairs.union(members.select("key", "node")).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
-    open_ = cut(labelled.join(mixed, "key"))
-    near = _likely_groups(open_, classes, sketch, threshold)
+    near = _likely_groups(cut(labelled.join(mixed, "key")), classes, sketch, threshold)
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    pairs = _likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, sketch, threshold)
+    near = cut(near.union(pairs)).toDF("node", "root")
     groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     more = cut(_linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent))
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
