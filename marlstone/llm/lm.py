@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import PAD, STRIDE, Attention
-from .common import cut
+from .common import cut, small_batches
 from .words import U64, Words, chunks, mix
 
 #: Most words whose counts are sent to all tasks: 16 bytes each.
@@ -222,6 +222,7 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     are ignored; without training documents all counts are 0. An empty table gives
     no rows.
     """
+    small_batches(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     source = Path(model_path).read_bytes()
     coder = context.broadcast(source)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: The space mark and its bytes (fixed values).
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -204,6 +206,7 @@ def encode_documents(documents: DataFrame, model: PieceModel) -> DataFrame:
     as bytes, so that decoding restores every text.
     """
     keep = [c for c in documents.columns if c != "ids"]
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +247,7 @@ def round_trip(documents: DataFrame, model: PieceModel) -> DataFrame:
     Null text counts as empty: no tokens, exact. Repeated rows each get a row;
     other columns are ignored; an empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, if_small, small_batches
 from .words import U64, Words, chunks, mix, repeated, sum_by
 
 #: Symbols of markup and junk (fixed values).
@@ -85,6 +85,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def with_features(documents: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns in keep (all, if None) plus FEATURES, named with prefix."""
+    small_batches(documents.sparkSession)
     keep = documents.columns if keep is None else keep
     needed = documents.select(*keep, F.col("text").alias("__text"))
     names = [f"{prefix}{f}" for f in FEATURES]
@@ -178,7 +179,7 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: Risk = Risk(), strat
 def judged(features: DataFrame, thresholds: DataFrame, stratum: str = "lang", prefix: str = "") -> DataFrame:
     """features with _failed (base rules) and _kept. A stratum without labelled documents has no cutoffs, so base rules alone decide there."""
     table = thresholds.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
-    joined = features.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    joined = features.join(if_small(table), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for k, name in enumerate(RULES):
         rejected |= F.coalesce(_statistic(name, prefix) > F.get("_cutoffs", F.lit(k)), F.lit(False))
