@@ -52,7 +52,7 @@ class Training:
 class Subwords:
     """Subword ids of words by a public SentencePiece file; a worker keeps the words it has seen, up to a bound."""
 
-    KEEP = 500_000
+    KEEP = 200_000
 
     def __init__(self, model: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -133,9 +133,9 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                 parts.append((kinds, counts))
                 held += len(kinds)
                 docs += j - i
-                if held > 1_500_000:
+                if held > 600_000:
                     merged = _merged(parts)
-                    if len(merged[0]) > 750_000:
+                    if len(merged[0]) > 300_000:
                         yield batch_of(WORD, *merged)
                         merged = (merged[0][:0], merged[1][:0])
                     parts, held = [merged], len(merged[0])
