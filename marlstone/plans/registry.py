@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import scenarios
+from marlstone.plans import operator_queries, scenarios
 
-QUERIES: dict = scenarios.QUERIES
-ORACLES: dict[str, str] = scenarios.ORACLES
+QUERIES: dict = scenarios.QUERIES | operator_queries.QUERIES
+ORACLES: dict[str, str] = scenarios.ORACLES | operator_queries.ORACLES
