@@ -29,7 +29,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes in binary units with one decimal; whole bytes without."""
     out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(F.abs(n) >= 1024**power, F.concat(F.format_number(n / 1024**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(F.abs(n) >= 1024**power, F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

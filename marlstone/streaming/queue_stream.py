@@ -43,5 +43,5 @@ def fold_stream(events: DataFrame, key: str, order: str, kind: str, moves: dict[
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their value by tumbling window of event time and kind, closed once the watermark passes. An extra: the catalog's own stream has no event time."""
-    timed = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return timed.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")

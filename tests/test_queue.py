@@ -1,0 +1,152 @@
+"""The work queue's rules, stored snapshots, the fold, and catalog questions on rows written by hand."""
+
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.operators import queue
+from marlstone.plans import catalog, measure
+
+T0 = datetime(2024, 5, 1, 12, 0, 0)
+
+
+def ids(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "id long")
+
+
+def status(table, i):
+    return table.filter(F.col("id") == i).first()
+
+
+def test_life_of_messages(spark):
+    t = queue.empty(spark)
+    assert queue.queue_stats(t, "q").first()[:] == (0, 0, 0, 0, 0)
+    t, first = queue.enqueue(t, "q", '{"test":"hello"}', T0, 1)
+    t, got = queue.dequeue(t, "q", T0)
+    assert [tuple(r) for r in got.collect()] == [(first, '{"test":"hello"}')]
+    assert queue.dequeue(t, "q", T0)[1].count() == 0
+    row = status(t, first)
+    assert row.status == "processing" and row.locked_until == T0 + timedelta(seconds=30)
+    t, acked = queue.ack(t, ids(spark, first, 99), T0)
+    assert {r.id: r.acked for r in acked.collect()} == {first: True, 99: False}
+    assert queue.ack(t, ids(spark, first), T0)[1].first().acked is False
+    t, poison = queue.enqueue(t, "q", '{"poison":true}', T0, 2)
+    for want in ("pending", "failed"):
+        t, _ = queue.dequeue(t, "q", T0)
+        t, said = queue.nack(t, ids(spark, poison), T0, "e" * 2500, 2)
+        assert said.first().status == want
+    row = status(t, poison)
+    assert row.attempts == 2 and len(row.last_error) == 2000 and row.locked_until is None
+    assert queue.nack(t, ids(spark, poison), T0)[1].first().status is None
+    t, crash = queue.enqueue(t, "q", '{"crash":true}', T0, 3)
+    t, _ = queue.dequeue(t, "q", T0, visibility=timedelta(seconds=-1))
+    t, reaped = queue.reap_expired(t, "q", T0)
+    assert [r.id for r in reaped.collect()] == [crash] and status(t, crash).status == "pending" and status(t, crash).last_error == queue.EXPIRED
+    assert queue.ack(t, ids(spark, crash), T0)[1].first().acked is False
+    assert queue.queue_stats(t, "q").first()[:] == (1, 0, 1, 1, 3)
+
+
+def test_edges(spark):
+    t = queue.empty(spark)
+    for bad in ("", "  ", None):
+        with pytest.raises(ValueError):
+            queue.enqueue_many(t, bad, ["x"], T0, 1)
+    with pytest.raises(ValueError):
+        queue.enqueue(t, "q", None, T0, 1)
+    t, got = queue.enqueue_many(t, "q", ["a", None, "b", "c"], T0, 5)
+    assert got == [5, 6, 7]
+    for options in ({"batch": 0}, {"batch": None}, {"visibility": None}):
+        with pytest.raises(ValueError):
+            queue.dequeue(t, "q", T0, **options)
+    t, _ = queue.dequeue(t, "q", T0, 2, timedelta(0))
+    assert queue.reap_expired(t, "q", T0)[1].count() == 0  # a lease that ends now has not run out
+    t2, reaped = queue.reap_expired(t, "q", T0 + timedelta(seconds=1), None)
+    assert reaped.count() == 2 and {r.status for r in t2.filter("id < 7").collect()} == {"pending"}
+    t3, _ = queue.reap_expired(t, "q", T0 + timedelta(seconds=1), 1)
+    assert {r.status for r in t3.filter("id < 7").collect()} == {"failed"}
+    assert queue.dequeue(t, "other", T0)[1].count() == 0
+
+
+def test_claims_are_disjoint_and_cover(spark):
+    t, _ = queue.enqueue_many(queue.empty(spark), "q", [f'{{"n":{i}}}' for i in range(10)], T0, 1)
+    t, one = queue.dequeue(t, "q", T0, 5)
+    first = {r.msg_id for r in one.collect()}
+    t, two = queue.dequeue(t, "q", T0, 5)
+    second = {r.msg_id for r in two.collect()}
+    assert first | second == set(range(1, 11)) and not first & second
+    t, _ = queue.enqueue_many(queue.empty(spark), "q", ["x"] * 7, T0, 1)
+    _, claims = queue.claim(t, "q", T0, 3, 3)
+    assert [(r.worker, r.msg_id) for r in claims.orderBy("msg_id").collect()] == [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6), (2, 7)]
+
+
+def test_purge_is_bounded_and_old(spark):
+    t, made = queue.enqueue_many(queue.empty(spark), "q", ["x"] * 6, T0, 1)
+    t, _ = queue.dequeue(t, "q", T0, 6)
+    t, _ = queue.ack(t, ids(spark, 1, 2, 3, 4), T0)
+    assert queue.purge_done(t, "q", T0)[1].count() == 0
+    later = T0 + timedelta(minutes=1)
+    t2, gone = queue.purge_done(t, "q", later, limit=3)
+    assert sorted(r.id for r in gone.collect()) == [1, 2, 3] and t2.count() == 3
+    assert queue.purge_done(t, "q", later, timedelta(hours=1))[1].count() == 0
+    assert queue.purge_done(t, "q", later, limit=0)[0].count() == 6
+
+
+def test_frames_get_ids_in_order(spark):
+    messages = spark.range(50).select((50 - F.col("id")).alias("position"), F.when(F.col("id") % 10 != 0, F.col("id").cast("string")).alias("payload"))
+    t = queue.enqueue_frame(queue.empty(spark), "q", messages, T0, 100)
+    got = t.orderBy("id").collect()
+    assert [r.id for r in got] == list(range(100, 145)) and [int(r.payload) for r in got] == sorted((int(r.payload) for r in got), reverse=True)
+
+
+def test_stored_queue_survives_a_restart(spark, tmp_path):
+    folder = str(tmp_path / "q")
+    q = queue.StoredQueue(spark, folder)
+    assert q.apply(queue.enqueue_many, "q", ["a", "b"], T0, 1) == [1, 2]
+    taken = q.apply(queue.dequeue, "q", T0, 1)
+    again = queue.StoredQueue(spark, folder)
+    assert [r.msg_id for r in taken] == [1] and again.version == 2
+    assert queue.queue_stats(again.table(), "q").first()[:] == (1, 1, 0, 0, 2)
+    again.forget(1)
+    assert again.version == 2 and again.table().count() == 2
+
+
+def test_catalog_questions(spark):
+    titles = spark.createDataFrame([("t1", "movie", "A", 2001, 90, ["x", "y"]), ("t2", "movie", "B", 1999, None, ["y", "y", None]), ("t3", "movie", "C", 2001, 120, None), ("t4", "short", "D", 2002, 5, ["x"]), ("t5", "movie", "E", 2003, 90, ["z", "x"])], "tconst string, title_type string, primary_title string, start_year int, runtime_minutes int, genres array<string>")
+    ratings = spark.createDataFrame([("t1", Decimal("7.0"), 1000), ("t2", Decimal("8.5"), 1000), ("t3", None, 5000), ("t4", Decimal("9.0"), 9000)], "tconst string, average_rating decimal(3,1), num_votes int")
+    by_genre = [(r.genre, str(r.avg_rating), r.rated_titles) for r in catalog.average_by_genre(titles, ratings).collect()]
+    assert by_genre == [(None, "8.50", 1), ("y", "8.00", 3), ("x", "7.00", 1)] or by_genre == [("y", "8.00", 3), ("x", "7.00", 1)]
+    assert [r.tconst for r in catalog.most_voted(titles, ratings, limit=2).collect()] == ["t3", "t1"]
+    crew = spark.createDataFrame([("t1", ["d1", "d1"]), ("t3", ["d1", "d2"]), ("t5", ["d3"]), ("t2", None), ("t4", ["d2"])], "tconst string, directors array<string>")
+    names = spark.createDataFrame([("d1", "One"), ("d2", None)], "nconst string, primary_name string")
+    got = [(r.nconst, r.num_movies, r.avg_rating) for r in catalog.busiest_directors(titles, crew, names, ratings).collect()]
+    assert got == [("d1", 3, Decimal("7.00")), ("d2", 1, None)]
+    years = [(r.start_year, r.avg_rating, r.rated_movies) for r in catalog.yearly_average(titles, ratings).collect()]
+    assert years == [(2001, Decimal("7.00"), 2)]
+    principals = spark.createDataFrame([("t1", "d1", "actor"), ("t5", "d1", "actress"), ("t1", "d2", "actor"), ("t2", "d2", "director")], "tconst string, nconst string, category string")
+    assert [(r.nconst, r.genre_count) for r in catalog.versatile_people(titles, principals, names, more_than=2).collect()] == [("d1", 3)]
+    episodes = spark.createDataFrame([("t1", 1), ("t1", 1), ("t1", 2), ("t4", None), ("t9", 1)], "parent_tconst string, season_number int")
+    assert [tuple(r) for r in catalog.most_seasons(titles, episodes).collect()] == [("t1", "A", 2, 3)]
+    assert [tuple(r) for r in catalog.genre_pairs(titles).collect()] == [("x", "y", 1), ("x", "z", 1)]
+    assert [tuple(r)[:2] for r in catalog.longest_by_genre(titles, top=1).collect()] == [("x", "t1"), ("y", "t1"), ("z", "t5")]
+
+
+def test_measurement(spark, tmp_path):
+    rows = [("before", 1, 100.0, 2.0, 5), ("after", 1, 50.0, 3.0, 5), ("before", 2, 0.0, 1.0, 1)]
+    first = spark.createDataFrame(rows, measure.TIMINGS)
+    measure.save_csv(first, str(tmp_path / "t"))
+    written = next((tmp_path / "t").glob("*.csv"))
+    (tmp_path / "t2.csv").write_text(written.read_text() + "during,1,1,1,1\nbefore,x,1,1,1\n")
+    loaded = measure.load_timings(spark, str(tmp_path / "t2.csv"))
+    assert loaded.count() == 3
+    merged = measure.merge_timings(loaded, spark.createDataFrame([("after", 1, 25.0, 1.0, 5)], measure.TIMINGS))
+    text = measure.markdown(measure.compared(merged))
+    assert "| 1 | 100.0 | 25.0 | 75.0 | 2.0 | 1.0 | 50.0 |" in text and "| 2 | 0.0 | n/a | n/a | 1.0 | n/a | n/a |" in text
+    df = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count().orderBy("k")
+    counts = measure.node_counts(measure.executed_plan(df))
+    assert counts["HashAggregate"] == 2 and counts["Sort"] == 1 and counts["BroadcastExchange"] == 0
+    ms, s, n = measure.best_of(lambda: df, 1)
+    assert n == 3 and ms > 0 and s > 0
+    df.write.parquet(str(tmp_path / "p"))
+    assert measure.table_size(spark, str(tmp_path / "p"))[0] == 3
