@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one operator call: kept on executors' disks while they are read again, and freed at the end.
+
+    A lost executor's part is computed anew from its lineage, which is why what
+    outlives the call is cut instead.
+    """
+
+    def __init__(self):
+        self._held: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.DISK_ONLY)
+        self._held.append(df)
+        return df
+
+    def free(self, df: DataFrame) -> None:
+        self._held.remove(df)
+        df.unpersist()
+
+    def __exit__(self, *_) -> None:
+        for df in self._held:
+            df.unpersist()
+        self._held.clear()
+
+
 #: Rows up to which a table of a few narrow columns is sent to all tasks.
 SMALL_ROWS = 20_000
 

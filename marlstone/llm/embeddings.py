@@ -147,7 +147,7 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
     placed = classes.select("node", "label", "v", "weight").mapInArrow(place, "node long, label long, v array<double>, weight long, size long, block long, cell long, probe boolean")
     where = ["label", "size", "block", "cell"]
     counts = classes.select("node", "label", "v", "weight").mapInArrow(place, placed.schema).groupBy(*where).agg(F.count_if(~F.col("probe")).alias("homes"), F.count_if(F.col("probe")).alias("guests"))
-    counts = cut(counts.filter("homes > 0 and homes + guests > 1"))
+    counts = counts.filter("homes > 0 and homes + guests > 1")
     chunks = lambda c: F.ceil(F.col(c) / how.tile).cast("int")
     counts = counts.select(*where, chunks("homes").alias("hs"), chunks("guests").alias("gs"))
     spread = placed.join(counts, where)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, roots, small_batches, tiled, with_maybe
+from .common import Scratch, by_group, cut, roots, small_batches, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -235,8 +235,7 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
     only if that fails with the rest of it; what has no likely partner across
     components is left out.
     """
-    held = rows.join(classes.select("node", "n_shingles", "registers"), "node")
-    tiles = tiled(held.select("key", "node", "component", "n_shingles", "registers"), ["key"], SIDE_ROWS)
+    tiles = tiled(rows.select("key", "node", "component"), ["key"], SIDE_ROWS).join(classes.select("node", "n_shingles", "registers"), "node")
 
     def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
         col = {name: tile.column(k) for k, name in enumerate(tile.schema.names)}
@@ -284,8 +283,9 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
 def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """From (node, coarse): edges (a, b) that span all exact links between nodes of a group, from tiles in which full sets are counted against each other."""
     sets = _sets_of(documents, groups.select("node"), n)
-    rows = groups.join(sets, "node").select("coarse", "node", "hashes", F.size("hashes").cast("long").alias("n"))
-    tiles = tiled(rows, ["coarse"], SIDE_ROWS, "n", SIDE_SHINGLES)
+    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("weight"))
+    rows = groups.join(sizes, "node").select("coarse", "node", "weight")
+    tiles = tiled(rows, ["coarse"], SIDE_ROWS, "weight", SIDE_SHINGLES).drop("weight").join(sets.select("node", "hashes", F.size("hashes").cast("long").alias("n")), "node")
 
     def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
         col = {name: tile.column(k) for k, name in enumerate(tile.schema.names)}
@@ -333,34 +333,34 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
     rows = cut(sketched(documents, n, sketch))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(linked.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "registers")).alias("least")).select("n_shingles", "f1", "f2", F.col("least.doc_id").alias("node"), F.col("least.registers").alias("registers")))
-    bands = _banded(classes, sketch)
-    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high")
-    buckets = cut(buckets)
-    members = bands.join(buckets.filter("held > 2"), "key").select("key", "node", "low")
-    members = cut(members)
-
-    # first round: each class and the least member it shares most buckets with
-    votes = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).union(members.filter("node <> low").select("node", "low"))
-    votes = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b"))
-    tried = cut(_likely(best, classes, sketch, threshold))
-    several = linked.groupBy("doc_id").agg(F.min("f1").alias("p"), F.max("f1").alias("q")).filter("p <> q").select("doc_id")
-    own = linked.join(several, "doc_id").join(classes.drop("registers"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = cut(_confirmed(tried, documents, n, percent).union(own))
-    found = components(links)
-
-    # second round: buckets that still hold two components or more
-    labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
-    near = _likely_groups(cut(labelled.join(mixed, "key")), classes, sketch, threshold)
-    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
-    pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    pairs = _likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, sketch, threshold)
-    near = cut(near.union(pairs)).toDF("node", "root")
-    groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    more = cut(_linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent))
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    with Scratch() as scratch:
+        bands = _banded(classes, sketch)
+        buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high")
+        buckets = scratch.keep(buckets)
+        members = bands.join(buckets.filter("held > 2"), "key").select("key", "node", "low")
+        members = cut(members)
+
+        # first round: each class and the least member it shares most buckets with
+        votes = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).union(members.filter("node <> low").select("node", "low"))
+        votes = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+        best = votes.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b"))
+        tried = cut(_likely(best, classes, sketch, threshold))
+        several = linked.groupBy("doc_id").agg(F.min("f1").alias("p"), F.max("f1").alias("q")).filter("p <> q").select("doc_id")
+        own = linked.join(several, "doc_id").join(classes.drop("registers"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        found = components(_confirmed(tried, documents, n, percent).union(own))
+
+        # second round: buckets that still hold two components or more
+        labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
+        near = _likely_groups(cut(labelled.join(mixed, "key")), classes, sketch, threshold)
+        label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
+        pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        pairs = _likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, sketch, threshold)
+        near = near.union(pairs).toDF("node", "root")
+        groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        more = _linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent)
+        final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.select("n_shingles", "f1", "f2", "node").join(final, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component"))
     joined = rows.drop("registers").join(named, ["n_shingles", "f1", "f2"], "left")
