@@ -153,13 +153,22 @@ def from_counts(counts: np.ndarray, dims: int, classes: int, seed: int = 2) -> t
     has its count plus one over the class's total.
     """
     total = counts.sum(1)
-    seen = counts + 0.05 * (counts.sum(0, keepdims=True) + 1) / (counts.sum() + 1)
-    ratio = np.log(seen / seen.sum(1, keepdims=True)) - np.log(seen.sum(0, keepdims=True) / seen.sum())
+    column = counts.sum(0)
+    floor = 0.05 * (column + 1) / (column.sum() + 1)
+    chance = np.log((column + floor * len(counts)) / (column.sum() + floor.sum() * len(counts)))
     weight = np.sqrt(total + 1)
-    ratio *= (total / (total + 5))[:, None]
-    _, _, axes = np.linalg.svd(np.linalg.qr(ratio * weight[:, None], mode="r"), full_matrices=False)
-    dims = min(dims, len(axes))
-    vectors = ratio @ axes[:dims].T
+
+    def ratios(rows: slice) -> np.ndarray:
+        seen = counts[rows] + floor
+        return (np.log(seen / seen.sum(1, keepdims=True)) - chance) * (total[rows] / (total[rows] + 5))[:, None]
+
+    step = 2048
+    slices = [slice(k, k + step) for k in range(0, len(counts), step)]
+    gram = sum((r * weight[s][:, None] ** 2).T @ r for s in slices for r in [ratios(s)])
+    _, axes = np.linalg.eigh(gram)
+    axes = axes[:, ::-1][:, : min(dims, len(axes))]
+    dims = axes.shape[1]
+    vectors = np.concatenate([ratios(s) @ axes for s in slices])
     spread = np.sqrt((vectors**2 * weight[:, None] ** 2).sum(0) / (weight**2).sum()) + 1e-9
     vectors = np.clip(vectors / spread * np.sqrt(spread / spread[0]), -4, 4)
     rng = np.random.default_rng(seed)

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import PAD, STRIDE, Attention
-from .common import cut, small_batches
+from .common import Scratch, cut, small_batches
 from .words import U64, Words, chunks, mix
 
 #: Most words whose counts are sent to all tasks: 16 bytes each.
-TOP = 1 << 20
+TOP = 1 << 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -41,7 +41,7 @@ class Training:
 
     dims: int = 16
     classes: int = 32
-    buckets: int = 32
+    buckets: int = 16
     share: int = 32
     shard: int = 16_000
     rounds: int = 3
@@ -168,7 +168,7 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
 def train_attention(gathered: DataFrame, vocabulary: int, how: Training) -> Attention:
     """The attention model from what _gather counted. The cells are at most vocabulary x 2 x buckets rows, whatever the corpus; shards train in parallel and only their sum returns."""
     cells = gathered.filter(F.col("kind") == CELL).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(vocabulary * 2 * how.buckets)
+    counts = np.zeros(vocabulary * 2 * how.buckets, np.float32)
     counts[cells["key"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(vocabulary, 2 * how.buckets)
     vectors, classes, within = attention.from_counts(counts, how.dims, how.classes, how.seed)
@@ -227,7 +227,8 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     source = Path(model_path).read_bytes()
     coder = context.broadcast(source)
     vocabulary = Subwords(source).size
-    gathered = cut(_gather(documents, coder, how))
+    scratch = Scratch()
+    gathered = scratch.keep(_gather(documents, coder, how))
     counts = cut(gathered.filter(F.col("kind") == WORD).groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("c")))
     sums = counts.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     docs = gathered.filter(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -242,6 +243,7 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     order = np.argsort(frequent["hash"].to_numpy(), kind="stable")
     table = context.broadcast((frequent["hash"].to_numpy(np.int64)[order], frequent["c"].to_numpy(np.int64)[order]))
     model = context.broadcast(train_attention(gathered, vocabulary, how))
+    scratch.free(gathered)
     end_log = math.log10(docs + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
