@@ -13,6 +13,7 @@ is held whole by a task.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ class Training:
 class Subwords:
     """Subword ids of words by a public SentencePiece file; a worker keeps the words it has seen, up to a bound."""
 
-    KEEP = 200_000
+    KEEP = 800_000
 
     def __init__(self, model: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -64,13 +65,12 @@ class Subwords:
         self.slots: dict[int, int] = {}
         self.pool, self.ends = np.array([self.end], np.int32), np.array([0, 1], np.int64)
 
-    def of(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes): the ids of each text's words, then the end token."""
+    def of(self, w: Words, kinds: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of each text's words, then the end token. kinds, at, which: np.unique of the words' hashes."""
         if len(self.slots) > self.KEEP:
             self._clear()
-        kinds, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         known = self.slots
-        slot = np.array([known.get(k, -1) for k in kinds.tolist()], np.int64)
+        slot = np.fromiter(map(known.get, kinds.tolist(), itertools.repeat(-1)), np.int64, len(kinds))
         new = np.flatnonzero(slot < 0)
         if len(new):
             data = w.data.tobytes()
@@ -78,7 +78,7 @@ class Subwords:
             coded = self.processor.encode(texts, num_threads=1)
             first = len(self.ends) - 1
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for c in coded for i in c), np.int32)])
+            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
             slot[new] = first + np.arange(len(new))
             known.update(zip(kinds[new].tolist(), slot[new].tolist()))
         units = np.insert(slot[which], w.first[1:], 0)
@@ -128,9 +128,8 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
         for batch in batches:
             for i, j in chunks(batch.column(0)):
                 w = Words(batch.column(0).slice(i, j - i), lower=True)
-                h = w.word_hashes()
-                kinds, counts = np.unique(h, return_counts=True)
-                parts.append((kinds, counts))
+                kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
+                parts.append((kinds, np.bincount(which, minlength=len(kinds))))
                 held += len(kinds)
                 docs += j - i
                 if held > 600_000:
@@ -139,7 +138,7 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                         yield batch_of(WORD, *merged)
                         merged = (merged[0][:0], merged[1][:0])
                     parts, held = [merged], len(merged[0])
-                ids, sizes = sub.of(w, h)
+                ids, sizes = sub.of(w, kinds, at, which)
                 ends = np.cumsum(sizes)
                 before = np.concatenate(([sub.start], ids[:-1]))
                 before[(ends - sizes)] = sub.start
@@ -252,21 +251,22 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
         for batch in batches:
             for i, j in chunks(batch.column(1)):
                 w = Words(batch.column(1).slice(i, j - i), lower=True)
-                h = w.word_hashes()
-                keys = h.view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, keys), max(0, len(hashes) - 1))
-                hit = hashes[at] == keys if len(hashes) else np.zeros(len(keys), bool)
+                kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
+                keys = kinds.view(np.int64)
+                place = np.minimum(np.searchsorted(hashes, keys), max(0, len(hashes) - 1))
+                found = hashes[place] == keys if len(hashes) else np.zeros(len(keys), bool)
                 logs = np.zeros(len(keys))
-                logs[hit] = np.log10(seen[at[hit]] + 1.0)
+                logs[found] = np.log10(seen[place[found]] + 1.0)
+                hit = found[which]
                 n = len(w.counts)
-                base = np.bincount(w.row, logs, n) + end_log
+                base = np.bincount(w.row, logs[which], n) + end_log
                 known = np.bincount(w.row[hit], minlength=n) + (docs > 0)
                 rest = np.flatnonzero(~hit)
                 first = np.concatenate(([0], np.cumsum(np.bincount(w.row[rest], minlength=n)))).astype(np.int32)
-                ids, sizes = sub.of(w, h)
+                ids, sizes = sub.of(w, kinds, at, which)
                 back, given, target, text = attention.windows(ids, sizes, sub.start)
                 score = np.bincount(text, own.score(given, target, back[:, 0] == PAD).sum(1), n) / math.log(10)
-                tail = pa.ListArray.from_arrays(pa.array(first), pa.array(keys[rest]))
+                tail = pa.ListArray.from_arrays(pa.array(first), pa.array(keys[which[rest]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), tail], names=["doc_id", "n_tokens", "known", "logs", "score", "tail"])
 
     scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, score double, tail array<long>")
