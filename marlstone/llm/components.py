@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import compact
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     null end is ignored.
     """
     links = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    links = cut(links.distinct())
+    links = compact(links.distinct())
     seen = _signature(links)
     while seen[0]:
         both = links.union(links.select("lo", "hi")).toDF("u", "v")
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-        links = cut(small.filter("hi <> lo").distinct())
+        links = compact(small.filter("hi <> lo").distinct())
         now = _signature(links)
         if now == seen:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, cut, roots, small_batches, tiled, with_maybe
+from .common import Scratch, by_group, compact, cut, roots, small_batches, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -188,8 +188,8 @@ def _registers(column: pa.Array, sketch: Sketch) -> np.ndarray:
 def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, threshold: float) -> DataFrame:
     """The pairs (a, b) that set sizes and registers let reach the threshold."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    joined = pairs.join(side("a").drop("ra"), "a").join(side("b").drop("rb"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
-    joined = joined.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    close = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b", "na", "nb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,13 +338,13 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
         buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high")
         buckets = scratch.keep(buckets)
         members = bands.join(buckets.filter("held > 2"), "key").select("key", "node", "low")
-        members = cut(members)
+        members = compact(members)
 
         # first round: each class and the least member it shares most buckets with
         votes = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).union(members.filter("node <> low").select("node", "low"))
         votes = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b"))
-        tried = cut(_likely(best, classes, sketch, threshold))
+        tried = compact(_likely(compact(best), classes, sketch, threshold))
         several = linked.groupBy("doc_id").agg(F.min("f1").alias("p"), F.max("f1").alias("q")).filter("p <> q").select("doc_id")
         own = linked.join(several, "doc_id").join(classes.drop("registers"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
         found = components(_confirmed(tried, documents, n, percent).union(own))
@@ -352,11 +352,11 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
         # second round: buckets that still hold two components or more
         labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
-        near = _likely_groups(cut(labelled.join(mixed, "key")), classes, sketch, threshold)
+        near = _likely_groups(compact(labelled.join(mixed, "key")), classes, sketch, threshold)
         label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
         pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = _likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, sketch, threshold)
+        pairs = _likely(compact(pairs.join(tried, ["a", "b"], "left_anti")), classes, sketch, threshold)
         near = near.union(pairs).toDF("node", "root")
         groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
         more = _linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent)
@@ -377,7 +377,7 @@ def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """
     report = near_duplicates(documents, **options).filter("doc_id is not null")
     touched = report.groupBy("doc_id").agg(F.min("kept").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("not _keep or _n > 1")
-    touched = cut(touched.select("doc_id", "_keep"))
+    touched = compact(touched.select("doc_id", "_keep"))
     marked = with_maybe(documents, touched, "doc_id")
     met = marked.filter("_maybe").join(touched, "doc_id", "left").filter("_keep is null or _keep")
     columns = [F.col(c) for c in documents.columns]
