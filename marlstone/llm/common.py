@@ -71,6 +71,11 @@ class Scratch:
         self._held.clear()
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The columns in names, and all of df's as one struct _row, so that no column of df can clash with an operator's own; select("_row.*") unpacks it."""
+    return df.select(*names, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
 #: Rows up to which a table of a few narrow columns is sent to all tasks.
 SMALL_ROWS = 20_000
 

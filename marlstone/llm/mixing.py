@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, if_small, top_bits, word_count
+from .common import bucket_bits, cut, if_small, packed, top_bits, word_count
 
 #: A source gives each document this often at most.
 LAPS = 2
@@ -130,6 +130,6 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     ends = mix.rows.groupBy("place", "source").agg(*[F.max(F.when(F.col("laps") >= lap, F.col("key"))).alias(f"_end_{lap}") for lap in range(1, LAPS + 1)])
     ends = cut(ends.select(F.col("source").alias("_source"), *[f"_end_{lap}" for lap in range(1, LAPS + 1)]))
     seed = options.get("seed", 20)
-    copies = sum((F.coalesce((F.xxhash64(F.lit(seed), "doc_id", "text") <= F.col(f"_end_{lap}")).cast("int"), F.lit(0)) for lap in range(1, LAPS + 1)), F.lit(0))
-    joined = documents.join(if_small(ends), documents["source"].eqNullSafe(ends["_source"]), "left")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[documents[c] for c in documents.columns])
+    copies = sum((F.coalesce((F.xxhash64(F.lit(seed), "_row.doc_id", "_row.text") <= F.col(f"_end_{lap}")).cast("int"), F.lit(0)) for lap in range(1, LAPS + 1)), F.lit(0))
+    joined = packed(documents).join(if_small(ends), F.col("_row.source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, small_batches
+from .common import cut, if_small, packed, small_batches
 from .words import U64, Words, chunks, mix, repeated, sum_by
 
 #: Symbols of markup and junk (fixed values).
@@ -83,33 +83,31 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_features(documents: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """The columns in keep (all, if None) plus FEATURES, named with prefix."""
+def with_features(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in keep plus FEATURES of text, which may also be a field of the struct _row in keep."""
     small_batches(documents.sparkSession)
-    keep = documents.columns if keep is None else keep
-    needed = documents.select(*keep, F.col("text").alias("__text"))
-    names = [f"{prefix}{f}" for f in FEATURES]
-    schema = T.StructType([*documents.select(*keep).schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+    inside = "_row" in keep
+    needed = documents.select(*keep) if inside else documents.select(*keep, "text")
+    schema = T.StructType([*documents.select(*keep).schema.fields, *[T.StructField(f, T.LongType()) for f in FEATURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(keep.index("_row")).field("text") if inside else batch.column(len(keep))
             for a, b in chunks(texts):
                 got = measure(texts.slice(a, b - a))
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *[pa.array(got[f], pa.int64()) for f in FEATURES]], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], *[pa.array(got[f], pa.int64()) for f in FEATURES]], names=[*keep, *FEATURES])
 
     return needed.mapInArrow(run, schema)
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> Column:
+    n, r = F.col("n_words"), F.col("n_repeat_words")
     return (n < 50) | (100 * r > 50 * n)
 
 
-def _statistic(name: str, prefix: str) -> Column:
+def _statistic(name: str) -> Column:
     top, below = RULES[name][0].split(" / ")
-    value = F.col(prefix + top.removeprefix("-")).cast("double") / F.nullif(F.col(prefix + below), F.lit(0))
+    value = F.col(top.removeprefix("-")).cast("double") / F.nullif(F.col(below), F.lit(0))
     return F.coalesce(-value if top.startswith("-") else value, F.lit(float("-inf")))
 
 
@@ -156,7 +154,7 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: Risk = Risk(), strat
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     rows = features.filter(~base_failed()).join(marks, "doc_id")
-    exceeded = [F.struct(F.lit(k).alias("rule"), sum(((_statistic(name, "") > c).cast("int") for c in grid), F.lit(0)).alias("passed")) for k, (name, (_, grid)) in enumerate(RULES.items())]
+    exceeded = [F.struct(F.lit(k).alias("rule"), sum(((_statistic(name) > c).cast("int") for c in grid), F.lit(0)).alias("passed")) for k, (name, (_, grid)) in enumerate(RULES.items())]
     counts = rows.select(F.col(stratum).alias("stratum"), "_quality", F.explode(F.array(*exceeded)).alias("e"))
     counts = cut(counts.groupBy("stratum", "e.rule", "e.passed").agg(F.sum((F.col("_quality") > 0).cast("long")).alias("good"), F.sum((F.col("_quality") <= 0).cast("long")).alias("bad")))
     strata = counts.select("stratum").distinct().count()
@@ -176,14 +174,14 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: Risk = Risk(), strat
     return cut(counts.groupBy("stratum").applyInPandas(certify, f"stratum {dict(features.dtypes)[stratum]}, cutoffs array<double>, bounds array<double>"))
 
 
-def judged(features: DataFrame, thresholds: DataFrame, stratum: str = "lang", prefix: str = "") -> DataFrame:
+def judged(features: DataFrame, thresholds: DataFrame, stratum: str = "lang") -> DataFrame:
     """features with _failed (base rules) and _kept. A stratum without labelled documents has no cutoffs, so base rules alone decide there."""
     table = thresholds.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
     joined = features.join(if_small(table), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for k, name in enumerate(RULES):
-        rejected |= F.coalesce(_statistic(name, prefix) > F.get("_cutoffs", F.lit(k)), F.lit(False))
-    return joined.withColumns({"_failed": base_failed(prefix), "_kept": ~base_failed(prefix) & ~rejected}).drop("_stratum", "_cutoffs")
+        rejected |= F.coalesce(_statistic(name) > F.get("_cutoffs", F.lit(k)), F.lit(False))
+    return joined.withColumns({"_failed": base_failed(), "_kept": ~base_failed() & ~rejected}).drop("_stratum", "_cutoffs")
 
 
 def quality_report(documents: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
@@ -201,5 +199,5 @@ def quality_report(documents: DataFrame, labels: DataFrame, risk: Risk = Risk())
 def keep_good(documents: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of documents that quality_report keeps, with all their columns."""
     thresholds = calibrate(cut(with_features(documents, ["doc_id", "lang"])), labels, risk)
-    marked = judged(with_features(documents, prefix="_q_"), thresholds, prefix="_q_")
-    return marked.filter("_kept").select(*documents.columns)
+    marked = judged(with_features(packed(documents), ["_row"]), thresholds, "_row.lang")
+    return marked.filter("_kept").select("_row.*")

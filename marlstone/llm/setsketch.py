@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, compact, cut, roots, small_batches, tiled, with_maybe
+from .common import Scratch, by_group, compact, cut, packed, roots, small_batches, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -378,8 +378,7 @@ def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     report = near_duplicates(documents, **options).filter("doc_id is not null")
     touched = report.groupBy("doc_id").agg(F.min("kept").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("not _keep or _n > 1")
     touched = compact(touched.select("doc_id", "_keep"))
-    marked = with_maybe(documents, touched, "doc_id")
-    met = marked.filter("_maybe").join(touched, "doc_id", "left").filter("_keep is null or _keep")
-    columns = [F.col(c) for c in documents.columns]
-    once = met.filter("_keep").dropDuplicates(["doc_id"]).select(*columns)
-    return marked.filter("not _maybe").select(*columns).union(met.filter("_keep is null").select(*columns)).union(once)
+    marked = with_maybe(packed(documents, "doc_id"), touched, "doc_id")
+    met = marked.filter("_maybe").select("doc_id", "_row").join(touched, "doc_id", "left").filter("_keep is null or _keep")
+    once = met.filter("_keep").dropDuplicates(["doc_id"]).select("_row.*")
+    return marked.filter("not _maybe").select("_row.*").union(met.filter("_keep is null").select("_row.*")).union(once)

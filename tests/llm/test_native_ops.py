@@ -142,3 +142,26 @@ def test_url_tree_learns_templates(spark):
     assert got["/ads/*"].rejected and not got["/news/*"].rejected and not got["/blog/*"].rejected
     assert {r.template for r in got.values() if r["shape"].startswith("/user/")} <= {"/user/*", "/*/*"}
     assert got["/ads/*"].template == "/ads/*"
+
+
+def test_queries_on_documents_and_pages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    shards = {r.doc_id: r for r in registry.op3_sharding(spark, SF).collect()}
+    assert {d.doc_id: (len(d.text.encode()) + 8, zlib.crc32(d.text.encode())) for d in docs} == {k: (r.size, r.text_crc32) for k, r in shards.items()}
+    assert all(r.law == "bytes" and 0 <= r.shard < 24 and r.grown_shard is None for r in shards.values())
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sizes = {d.doc_id: len(word.findall(d.text)) for d in docs}
+    per = {}
+    for d in docs:
+        per[d.source] = per.get(d.source, 0) + sizes[d.doc_id]
+    source = {d.doc_id: d.source for d in docs}
+    mixed = registry.op8_mixing(spark, SF).collect()
+    assert {r.doc_id: r.size for r in mixed} == sizes and all(r.source_size == per[source[r.doc_id]] and r.taken in (0, r.size, 2 * r.size) and r.target <= 2 * r.source_size + 1e-6 for r in mixed)
+    assert abs(sum({source[r.doc_id]: r.target for r in mixed}.values()) - 1.5 * sum(per.values())) < 1e-3
+    urls = {p.page_id: p.url for p in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in registry.op10_url_filter(spark, SF).collect():
+        rest = urls[r.page_id].split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in registry.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path, r.rule) == (host.lower(), path, max(fits)[1] if fits else None) and (not fits or r.verdict == max(fits)[2])

@@ -35,3 +35,22 @@ def test_run_matches_plain_stages(spark):
     final = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in final) == sorted(seen[2])
     assert all(r.n_tokens == len(r.ids) and model.decode(r.ids) == docs[r.doc_id].text for r in final)
+
+
+def test_stages_stand_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_row", "_kept", "_copy", "_keep", "_maybe", "key", "node", "place", "n_words", "ids"]
+    null = base.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in base.dtypes])
+    odd = spark.createDataFrame([(1, "", "en", None, 0), (1, "", "en", None, 0), (2, " \n ", None, "a", 3), (3, "word " * 60_000, "en", "a", 1)], base.schema)
+    docs = base.union(null).union(null).union(odd).select("*", *[F.lit("clash").alias(n) for n in names])
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0, name
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name != "tokenize":
+            assert out.columns == docs.columns and all(r[n] == "clash" for r in rows for n in names), name
+        assert rows, name

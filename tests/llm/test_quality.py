@@ -71,6 +71,7 @@ def test_certified_rules_limit_false_rejections(spark):
             assert r.kept == (r.doc_id % 5 != 0)
     kept = quality.keep_good(docs, marks)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert {r._kept for r in kept.collect()} == {"clash", "c"}
     assert quality.quality_report(docs, marks.limit(0)).filter("kept").count() == 6001
     assert quality.quality_report(docs.limit(0), marks).count() == 0
 
