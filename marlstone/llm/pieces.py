@@ -72,8 +72,8 @@ class PieceModel:
 
     pieces: list[tuple[str, float, int]]
     prefix: bool = True
-    #: Solved parts a worker keeps; beyond that it starts anew.
-    keep: int = 300_000
+    #: Solved parts of a generation; a worker keeps two.
+    keep: int = 400_000
     _ready: tuple | None = field(default=None, repr=False, compare=False)
 
     @classmethod
@@ -163,8 +163,6 @@ class PieceModel:
             if k == 0 and self.prefix:
                 piece = MARK + piece
             out.extend(map(solved.__getitem__, parts(piece)))
-        if len(solved) > self.keep:
-            solved.clear()
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -180,12 +178,19 @@ class PieceModel:
 
 
 class _Solved(dict):
+    """Ids of parts. Once full, it becomes the old generation; parts met again come over from there, so frequent ones stay."""
+
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, part: str) -> bytes:
-        out = np.array(self.model.best_path(part), "<i4").tobytes()
+        out = self.old.get(part)
+        if out is None:
+            out = np.array(self.model.best_path(part), "<i4").tobytes()
         if len(part) <= 64:
+            if len(self) >= self.model.keep:
+                self.old = dict(self)
+                self.clear()
             self[part] = out
         return out
 
