@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a session, unless they find it on their path."""
+    context = spark.sparkContext
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT in paths or context.applicationId in _SHIPPED or context.master.startswith("local[") and Path.cwd() == ROOT:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted((ROOT / "marlstone").rglob("*.py")):
+            z.write(source, source.relative_to(ROOT))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
 
 def build_session(app: str = "marlstone", cores: int | str = 8, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session; on a cluster, pass the session of the cluster to the operators instead."""
