@@ -123,6 +123,11 @@ def queue_stats(table: DataFrame, queue: str) -> DataFrame:
     return table.filter(F.col("queue_name") == queue).agg(*counts, F.count(F.lit(1)).alias("total"))
 
 
+def paused(pending: int, before: bool, high: int = 2000, low: int = 500) -> bool:
+    """Whether a producer waits: from high pending messages on, until low or fewer are left."""
+    return pending > low if before else pending >= high
+
+
 def purge_done(table: DataFrame, queue: str, now: datetime, older: timedelta = timedelta(0), limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Removes up to limit done messages, lowest ids first, last changed before now - older; result (id) of them."""
     old = (F.col("queue_name") == queue) & (F.col("status") == "done") & (F.col("updated_at") < _time(now - older))

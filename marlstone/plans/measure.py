@@ -86,3 +86,16 @@ def table_size(spark: SparkSession, path: str) -> tuple[int, int]:
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     return spark.read.parquet(path).count(), at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def run_phase(spark: SparkSession, queries: dict[int, Callable[[], DataFrame]], phase: str, folder: str, runs: int = 2) -> DataFrame:
+    """Times of a phase for all queries by number; each query's executed plan goes to folder as text, one file a query and phase."""
+    if phase not in PHASES:
+        raise ValueError(f"a phase is one of {', '.join(PHASES)}")
+    rows = []
+    for number, query in sorted(queries.items()):
+        plan = executed_plan(query())
+        spark.createDataFrame([(plan,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/scenario_{number:02d}.{phase}")
+        ms, wall, n = best_of(query, runs)
+        rows.append((phase, number, ms, wall, n))
+    return spark.createDataFrame(rows, TIMINGS)

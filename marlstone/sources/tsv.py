@@ -7,6 +7,8 @@ apart. A gzip file is one task; the parsed rows can be dealt out from there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,17 @@ from marlstone.sources.catalog import DATASETS, Dataset
 BOM = "﻿"
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a gzip file can be read to its end with its checksum, in one task."""
+    try:
+        spark.read.text(path).count()
+    except Exception as e:
+        if not re.search("ZipException|EOFException|gzip|ZLIB|FAILED_READ_FILE|incorrect", str(e)):
+            raise
+        return False
+    return True
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """Field names of the first line, without a byte-order mark."""
     first = spark.read.text(path).first()

@@ -147,3 +147,11 @@ def test_number_forms(spark):
 
     for r in df.collect():
         assert (None if r.n is None else int(r.n)) == want(int, r.v) and r.f == want(float, r.v), r
+
+
+def test_broken_gzip_is_told(spark, tmp_path):
+    path = write_gz(tmp_path / "a.tsv.gz", [f"line {k}" for k in range(5000)])
+    assert tsv.is_whole(spark, path)
+    data = (tmp_path / "a.tsv.gz").read_bytes()
+    (tmp_path / "b.tsv.gz").write_bytes(data[: len(data) // 2])
+    assert not tsv.is_whole(spark, str(tmp_path / "b.tsv.gz"))

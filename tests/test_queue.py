@@ -150,3 +150,16 @@ def test_measurement(spark, tmp_path):
     assert n == 3 and ms > 0 and s > 0
     df.write.parquet(str(tmp_path / "p"))
     assert measure.table_size(spark, str(tmp_path / "p"))[0] == 3
+
+
+def test_backpressure_and_phases(spark, tmp_path):
+    state, seen = False, []
+    for pending in (10, 1999, 2000, 1500, 501, 500, 1999):
+        state = queue.paused(pending, state)
+        seen.append(state)
+    assert seen == [False, False, True, True, True, False, False]
+    timings = measure.run_phase(spark, {1: lambda: spark.range(5), 2: lambda: spark.range(6).groupBy().count()}, "before", str(tmp_path / "plans"), 1)
+    assert [(r.phase, r.scenario, r.rows) for r in timings.collect()] == [("before", 1, 5), ("before", 2, 1)]
+    assert "Range" in "".join(r.value for r in spark.read.text(str(tmp_path / "plans/scenario_01.before")).collect())
+    with pytest.raises(ValueError):
+        measure.run_phase(spark, {}, "during", str(tmp_path))
