@@ -3,7 +3,8 @@
 One head of attention over the last block and the present one. Token vectors come
 from corpus counts and stay fixed, so queries, keys and values are tables by
 token; distances have a learnt bias. The next token is predicted by class, then
-within the class by corpus counts: P(token) = P(class | context) P(token | class).
+within the class by corpus counts: P(token) = P(class | context) P(token | class,
+bucket of the token before).
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ PAD = 65535
 
 @dataclass
 class Attention:
-    """vectors: tokens x dims; classes: class of each token; within: log probability of a token in its class; weights: what training changes."""
+    """vectors: tokens x dims; classes: class of each token; within: tokens x buckets, log probability of a token in its class after a token of the bucket; weights: what training changes; bucket: of each token."""
 
     vectors: np.ndarray
     classes: np.ndarray
     within: np.ndarray
     weights: dict[str, np.ndarray]
+    bucket: np.ndarray | None = None
     _tables: tuple | None = field(default=None, repr=False)
 
     @staticmethod
@@ -87,7 +89,8 @@ class Attention:
             chosen = np.take_along_axis(logits, classes[a:b].reshape(-1, 1), 1)[:, 0]
             np.exp(logits, out=logits)
             out[a:b] = (chosen - np.log(logits.sum(1))).reshape(b - a, STRIDE)
-        out += self.within[safe]
+        after = 0 if self.bucket is None else self.bucket[inputs[1:]]
+        out += self.within[safe, after]
         out[~real] = 0
         return out
 
@@ -128,7 +131,7 @@ class Attention:
     def train(self, before: np.ndarray, given: np.ndarray, target: np.ndarray, *, rate: float, passes: int, batch: int = 64, seed: int = 0) -> dict[str, np.ndarray]:
         """Weights after Adam over the windows in a shuffled order."""
         rng = np.random.default_rng(seed)
-        model = Attention(self.vectors, self.classes, self.within, {k: v.copy() for k, v in self.weights.items()})
+        model = Attention(self.vectors, self.classes, self.within, {k: v.copy() for k, v in self.weights.items()}, self.bucket)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
@@ -145,12 +148,11 @@ class Attention:
         return model.weights
 
 
-def from_counts(counts: np.ndarray, dims: int, classes: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, classes, within) from tokens x contexts counts.
+def from_counts(counts: np.ndarray, dims: int, classes: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, classes) from tokens x contexts counts.
 
     Vectors: leading singular directions of the log-ratios of counts to chance.
-    Classes: k-means of the vectors, weighted by count. Within a class, a token
-    has its count plus one over the class's total.
+    Classes: k-means of the vectors, weighted by count.
     """
     total = counts.sum(1)
     column = counts.sum(0)
@@ -179,8 +181,20 @@ def from_counts(counts: np.ndarray, dims: int, classes: int, seed: int = 2) -> t
         mass = np.bincount(label, weight, classes)
         for d in range(dims):
             centres[:, d] = np.where(mass > 0, np.bincount(label, weight * vectors[:, d], classes) / np.maximum(mass, 1e-9), centres[:, d])
-    share = np.bincount(label, total + 1, classes)
-    return vectors.astype(np.float32), label.astype(np.int64), np.log((total + 1) / share[label]).astype(np.float64)
+    return vectors.astype(np.float32), label.astype(np.int64)
+
+
+def within_classes(counts: np.ndarray, classes: np.ndarray, number: int, weight: float) -> np.ndarray:
+    """Log probabilities (tokens x buckets) of tokens in their class after a token of each bucket, from counts of the same shape.
+
+    Without regard to the bucket, a token has its count plus one over the class's
+    total; that counts as weight tokens seen in each bucket.
+    """
+    total = counts.sum(1) + 1.0
+    alone = (total / np.bincount(classes, total, number)[classes])[:, None]
+    sums = np.zeros((number, counts.shape[1]))
+    np.add.at(sums, classes, counts)
+    return np.log((counts + weight * alone) / (sums[classes] + weight)).astype(np.float32)
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

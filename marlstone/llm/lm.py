@@ -41,8 +41,10 @@ class Training:
     """share: one window in so many is trained on; shard: windows of a shard; rounds of local training, each with an average of all shards."""
 
     dims: int = 16
-    classes: int = 32
-    buckets: int = 16
+    classes: int = 64
+    buckets: int = 64
+    #: Tokens that a class's own shares count for in each bucket.
+    prior: float = 20.0
     share: int = 32
     shard: int = 16_000
     rounds: int = 3
@@ -108,6 +110,10 @@ def is_held_out(doc_id: Column) -> Column:
 WORD, CELL, WINDOW, DOCS = range(4)
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (ids.astype(np.int64) * 40503 >> 7) % buckets
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     kinds, which = np.unique(keys, return_inverse=True)
@@ -124,6 +130,7 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
         sub = _coder(coder)
         cells = np.zeros(sub.size * 2 * how.buckets, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: list[np.ndarray] = []
         held = docs = 0
         for batch in batches:
             for i, j in chunks(batch.column(0)):
@@ -145,8 +152,11 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                 after = np.concatenate((ids[1:], [sub.start]))
                 after[ends - 1] = sub.start
                 for side, near in enumerate((before, after)):
-                    bucket = (near.astype(np.int64) * 40503 >> 7) % how.buckets
-                    cells += np.bincount((ids.astype(np.int64) * 2 + side) * how.buckets + bucket, minlength=len(cells))
+                    bucket = bucket_of(near, how.buckets)
+                    seen.append((ids * 2 + side) * how.buckets + bucket)
+                if sum(map(len, seen)) > 2_000_000:
+                    cells += np.bincount(np.concatenate(seen), minlength=len(cells))
+                    seen.clear()
                 back, given, target, _ = attention.windows(ids, sizes, sub.start)
                 keys = mix((given.astype(np.uint64) * np.arange(1, 2 * STRIDE, 2, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64) + mix(target.astype(np.uint64).sum(1) + U64(how.seed)))
                 chosen = np.flatnonzero(keys % U64(how.share) == 0)
@@ -155,6 +165,8 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                     yield batch_of(WINDOW, keys[chosen], np.ones(len(chosen)), [r.tobytes() for r in rows])
         if parts:
             yield batch_of(WORD, *_merged(parts))
+        if seen:
+            cells += np.bincount(np.concatenate(seen), minlength=len(cells))
         some = np.flatnonzero(cells)
         if len(some):
             yield batch_of(CELL, some, cells[some])
@@ -170,9 +182,10 @@ def train_attention(gathered: DataFrame, vocabulary: int, how: Training) -> Atte
     counts = np.zeros(vocabulary * 2 * how.buckets, np.float32)
     counts[cells["key"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(vocabulary, 2 * how.buckets)
-    vectors, classes, within = attention.from_counts(counts, how.dims, how.classes, how.seed)
-    within = _within(counts[:, : how.buckets].sum(1), classes, how.classes)
-    model = Attention(vectors, classes, within, Attention.initial(vectors.shape[1], how.classes, how.seed))
+    vectors, classes = attention.from_counts(counts, how.dims, how.classes, how.seed)
+    within = attention.within_classes(counts[:, : how.buckets], classes, how.classes, how.prior)
+    bucket = bucket_of(np.arange(vocabulary), how.buckets)
+    model = Attention(vectors, classes, within, Attention.initial(vectors.shape[1], how.classes, how.seed), bucket)
     # start from the frequency of classes
     share = np.bincount(classes, counts[:, : how.buckets].sum(1) + 1, how.classes) + 1e-3
     model.weights["bias"] = np.log(share / share.sum()).astype(np.float32)
@@ -202,15 +215,10 @@ def train_attention(gathered: DataFrame, vocabulary: int, how: Training) -> Atte
             size = int(np.prod(shapes[k]))
             weights[k] = flat[start : start + size].reshape(shapes[k])
             start += size
-        model = Attention(vectors, classes, within, weights)
+        model = Attention(vectors, classes, within, weights, bucket)
     return model
 
 
-def _within(totals: np.ndarray, classes: np.ndarray, count: int) -> np.ndarray:
-    share = np.bincount(classes, totals + 1, count)
-    return np.log((totals + 1) / share[classes])
-
-
 def score_documents(documents: DataFrame, *, how: Training = Training(), model_path: str = DEFAULT_MODEL, top: int = TOP) -> DataFrame:
     """One row per row of documents (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

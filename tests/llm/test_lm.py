@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from marlstone.llm import lm, registry
-from marlstone.llm.attention import PAD, STRIDE, Attention, windows
+from marlstone.llm.attention import PAD, STRIDE, Attention, windows, within_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -39,7 +39,7 @@ def compare(got, rows):
 
 
 def small_model(rng, tokens_=300):
-    return Attention(rng.standard_normal((tokens_, 8)), rng.integers(0, 6, tokens_), np.full(tokens_, -1.0), {k: v.astype(float) for k, v in Attention.initial(8, 6).items()})
+    return Attention(rng.standard_normal((tokens_, 8)), rng.integers(0, 6, tokens_), np.full((tokens_, 1), -1.0), {k: v.astype(float) for k, v in Attention.initial(8, 6).items()})
 
 
 def test_each_token_is_a_target_once():
@@ -96,7 +96,8 @@ def test_gradients_match_differences():
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
     classes = rng.integers(0, 6, 300)
-    model = Attention(rng.standard_normal((300, 8)), classes, lm._within(rng.integers(0, 9, 300).astype(float), classes, 6), Attention.initial(8, 6))
+    within = within_classes(rng.integers(0, 9, (300, 4)).astype(float), classes, 6, 2.0)
+    model = Attention(rng.standard_normal((300, 8)), classes, within, Attention.initial(8, 6), lm.bucket_of(np.arange(300), 4))
     total = 0.0
     for token in range(300):
         before, given, target, _ = windows(np.array([5, 9, token], np.int32), np.array([3]), 1)
