@@ -130,15 +130,16 @@ def tiled(rows: DataFrame, where: list[str], side_rows: int, weight: str | None
     A group is dealt into chunks by a hash of node, so many that a chunk holds
     about side_rows rows, and about side_weight of the column weight, at most.
     Tile (i, j), i <= j, gets chunk i as side 0 and chunk j as side 1; tile (i, i)
-    gets its chunk once, as side 0. Groups of one row give no tile.
+    gets its chunk once, as side 0.
     """
     size = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
-    groups = rows.groupBy(*where).agg(*size).filter("_n > 1")
     chunks = F.ceil(F.col("_n") / side_rows)
     if weight:
         chunks = F.greatest(chunks, F.ceil(F.col("_w") / side_weight))
-    groups = groups.select(*where, chunks.cast("int").alias("_c"))
-    spread = rows.join(groups, where).withColumn("_k", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("_c")).cast("int"))
+    # few groups are above a chunk, so few rows need to know of them
+    large = rows.groupBy(*where).agg(*size).select(*where, chunks.cast("int").alias("_c")).filter("_c > 1")
+    spread = rows.join(if_small(cut(large)), where, "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+    spread = spread.withColumn("_k", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("_c")).cast("int"))
     numbers = F.sequence(F.lit(0), F.col("_c") - 1)
     tile = F.transform(numbers, lambda o: F.struct(F.least(o, F.col("_k")).alias("i"), F.greatest(o, F.col("_k")).alias("j"), (o < F.col("_k")).cast("int").alias("side")))
     spread = spread.withColumn("_t", F.explode(tile))

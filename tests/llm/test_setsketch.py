@@ -115,3 +115,31 @@ def test_near_duplicates_match_brute_force(spark):
         assert sorted(ids) == sorted(set(want.values()))
     assert setsketch.near_duplicates(docs.limit(0)).count() == 0
     assert setsketch.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_tiles_hold_every_pair_once(spark):
+    rows = [(g, g * 1000 + k, k % 7) for g, n in ((1, 1), (2, 5), (3, 60)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "g long, node long, w long")
+    for options in ((8,), (100, "w", 20)):
+        tiles = {}
+        for r in common.tiled(frame, ["g"], *options).collect():
+            tiles.setdefault((r.g, r.i, r.j), ([], []))[r.side].append(r.node)
+        pairs = []
+        for (_, i, j), (left, right) in tiles.items():
+            pairs += [tuple(sorted((a, b))) for x, a in enumerate(left) for b in (left[:x] if i == j else right)]
+            assert max(len(left), len(right)) <= 30
+        want = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
+        assert sorted(pairs) == sorted(want)
+
+
+def test_small_tiles_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(rng.choice("xyz") + str(rng.randint(0, 999)) if rng.random() < 0.05 else w for w in base), "c", 0, "en"))
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(setsketch, "SIDE_ROWS", 6)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, n=2).collect()}
+    assert got == plain_near(rows, 2, 80) and len(set(got.values())) > 12
