@@ -352,6 +352,8 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
         # second round: buckets that still hold two components or more
         labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
+        # written first, so that the join reads two plain shuffles, of which a hot bucket's can be split
+        mixed = compact(mixed)
         near = _likely_groups(compact(labelled.join(mixed, "key")), classes, sketch, threshold)
         label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
