@@ -3,8 +3,8 @@
 Two models learn from the training documents, and all of them count. The base
 model has word counts. The attention model has counts of subword ids by the
 buckets of their neighbours, from which its token vectors, classes and
-probabilities within a class are made; its attention is trained on a fixed share
-of all windows, by shards in parallel whose weights are averaged.
+probabilities within a class are made; its attention is trained on every window,
+each partition's in a stream of its own, and the weights are averaged.
 
 Words are counted by 64-bit hashes. Counts of frequent words, at most TOP of
 them, go to all tasks; other words meet their counts in a join, so no vocabulary
@@ -20,16 +20,17 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
 from .attention import PAD, STRIDE, Attention
 from .common import Scratch, cut, small_batches
-from .words import U64, Words, chunks, mix
+from .words import Words, chunks
 
 #: Most words whose counts are sent to all tasks: 16 bytes each.
 TOP = 1 << 19
@@ -38,14 +39,13 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Training:
-    """share: one window in so many is trained on; shard: windows of a shard; rounds of local training, each with an average of all shards."""
+    """shard: windows shuffled and trained on at a time; rounds of local training over all windows, each with an average of all partitions."""
 
     dims: int = 16
     classes: int = 64
     buckets: int = 64
     #: Tokens that a class's own shares count for in each bucket.
     prior: float = 20.0
-    share: int = 32
     shard: int = 16_000
     rounds: int = 3
     rate: float = 0.02
@@ -107,7 +107,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 7 == 2
 
 
-WORD, CELL, WINDOW, DOCS = range(4)
+WORD, CELL, TEXT, DOCS = range(4)
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -121,10 +121,10 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
-    """(kind, key, n, ids) of the training documents: counts by word hash, counts by cell (token, side, bucket of the neighbour), sampled windows, documents."""
+    """(kind, key, n, ids) of the training documents: counts by word hash, counts by cell (token, side, bucket of the neighbour), each text's ids, documents."""
 
-    def batch_of(kind: int, keys: np.ndarray, counts: np.ndarray, ids: list | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64) if keys.dtype != np.uint64 else keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(ids if ids is not None else [None] * len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
+    def batch_of(kind: int, keys: np.ndarray, counts: np.ndarray, ids: pa.Array | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64) if keys.dtype != np.uint64 else keys.view(np.int64)), pa.array(counts.astype(np.int64)), ids if ids is not None else pa.nulls(len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = _coder(coder)
@@ -157,12 +157,9 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                 if sum(map(len, seen)) > 2_000_000:
                     cells += np.bincount(np.concatenate(seen), minlength=len(cells))
                     seen.clear()
-                back, given, target, _ = attention.windows(ids, sizes, sub.start)
-                keys = mix((given.astype(np.uint64) * np.arange(1, 2 * STRIDE, 2, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64) + mix(target.astype(np.uint64).sum(1) + U64(how.seed)))
-                chosen = np.flatnonzero(keys % U64(how.share) == 0)
-                if len(chosen):
-                    rows = np.concatenate([back[chosen], given[chosen], target[chosen]], 1).astype(np.uint16)
-                    yield batch_of(WINDOW, keys[chosen], np.ones(len(chosen)), [r.tobytes() for r in rows])
+                upto = np.concatenate(([0], 2 * ends)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(upto), pa.py_buffer(ids.astype(np.uint16))])
+                yield batch_of(TEXT, np.zeros(len(sizes), np.int64), sizes, packed)
         if parts:
             yield batch_of(WORD, *_merged(parts))
         if seen:
@@ -176,8 +173,29 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
     return documents.filter(~is_held_out(F.col("doc_id"))).select("text").mapInArrow(run, "kind int, key long, n long, ids binary")
 
 
-def train_attention(gathered: DataFrame, vocabulary: int, how: Training) -> Attention:
-    """The attention model from what _gather counted. The cells are at most vocabulary x 2 x buckets rows, whatever the corpus; shards train in parallel and only their sum returns."""
+def _runs(batches: Iterator[pa.RecordBatch], start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(before, given, target) of every window of the texts' ids in a stream, size windows at a time."""
+    held: list[tuple] = []
+    count = 0
+    for batch in batches:
+        for i, j in chunks(batch.column(0)):
+            part = batch.column(0).slice(i, j - i)
+            sizes = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+            ids = np.frombuffer(b"".join(part.to_pylist()), np.uint16).astype(np.int32)
+            held.append(attention.windows(ids, sizes, start)[:3])
+            count += len(held[-1][0])
+            if count >= size:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                full = count // size * size
+                for k in range(0, full, size):
+                    yield tuple(x[k : k + size] for x in whole)
+                held, count = [tuple(x[full:] for x in whole)], count - full
+    if count:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def train_attention(gathered: DataFrame, vocabulary: int, start_id: int, how: Training) -> Attention:
+    """The attention model from what _gather counted. The cells are at most vocabulary x 2 x buckets rows, whatever the corpus; partitions train in parallel on all their windows and only the sum of their weights returns. Without any window the classes keep their frequencies."""
     cells = gathered.filter(F.col("kind") == CELL).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary * 2 * how.buckets, np.float32)
     counts[cells["key"].to_numpy()] = cells["n"].to_numpy()
@@ -189,27 +207,27 @@ def train_attention(gathered: DataFrame, vocabulary: int, how: Training) -> Atte
     # start from the frequency of classes
     share = np.bincount(classes, counts[:, : how.buckets].sum(1) + 1, how.classes) + 1e-3
     model.weights["bias"] = np.log(share / share.sum()).astype(np.float32)
-    samples = gathered.filter(F.col("kind") == WINDOW).select("key", "ids")
-    total = samples.count()
-    if not total:
+    texts = gathered.filter(F.col("kind") == TEXT).select("ids")
+    if not how.rounds or texts.isEmpty():
+        for k in ("out", "own"):
+            model.weights[k] = np.zeros_like(model.weights[k])
         return model
-    shards = max(1, -(-total // how.shard))
-    samples = cut(samples.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards))))
     names = list(model.weights)
     shapes = {k: model.weights[k].shape for k in names}
     for turn in range(how.rounds):
         shared = gathered.sparkSession.sparkContext.broadcast(model)
 
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = shared.value
-            pdf = pdf.sort_values(["key", "ids"])
-            rows = np.frombuffer(b"".join(pdf["ids"]), np.uint16).reshape(len(pdf), 3 * STRIDE).astype(np.int32)
-            before, given, target = rows[:, :STRIDE], rows[:, STRIDE : 2 * STRIDE], rows[:, 2 * STRIDE : 3 * STRIDE]
-            weights = own.train(before, given, target, rate=how.rate / (1 + 2 * turn), passes=1, seed=int(pdf["shard"].iloc[0]) * 31 + turn)
-            flat = np.concatenate([weights[k].ravel() for k in names]).astype(float)
-            return pd.DataFrame({"at": np.arange(len(flat)), "value": flat * len(pdf), "n": float(len(pdf))})
-
-        summed = samples.groupBy("shard").applyInPandas(local, "at long, value double, n double").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).orderBy("at").toPandas()
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, seed, n = shared.value, TaskContext.get().partitionId() * 31 + turn, 0
+            for before, given, target in _runs(batches, start_id, how.shard):
+                weights = own.train(before, given, target, rate=how.rate / (1 + 2 * turn), passes=1, seed=seed)
+                own = Attention(own.vectors, own.classes, own.within, weights, own.bucket)
+                n += len(given)
+            if n:
+                flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], names=["at", "value", "n"])
+
+        summed = texts.mapInArrow(local, "at long, value double, n double").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).orderBy("at").toPandas()
         flat, weights, start = summed["value"].to_numpy().astype(np.float32), {}, 0
         for k in names:
             size = int(np.prod(shapes[k]))
@@ -233,7 +251,7 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     context = documents.sparkSession.sparkContext
     source = Path(model_path).read_bytes()
     coder = context.broadcast(source)
-    vocabulary = Subwords(source).size
+    subwords = Subwords(source)
     scratch = Scratch()
     gathered = scratch.keep(_gather(documents, coder, how))
     counts = cut(gathered.filter(F.col("kind") == WORD).groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("c")))
@@ -249,7 +267,7 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     frequent = counts.filter(F.col("c") >= least).toPandas()
     order = np.argsort(frequent["hash"].to_numpy(), kind="stable")
     table = context.broadcast((frequent["hash"].to_numpy(np.int64)[order], frequent["c"].to_numpy(np.int64)[order]))
-    model = context.broadcast(train_attention(gathered, vocabulary, how))
+    model = context.broadcast(train_attention(gathered, subwords.size, subwords.start, how))
     scratch.free(gathered)
     end_log = math.log10(docs + 1)
 

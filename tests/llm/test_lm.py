@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from marlstone.llm import lm, registry
 from marlstone.llm.attention import PAD, STRIDE, Attention, windows, within_classes
@@ -127,3 +128,29 @@ def test_held_out_accuracy(spark):
     assert total(got, "score") > total(no_context, "score") + 0.1
     again = [r for r in registry.op5_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert abs(total(got, "score") - total(again, "score")) < 1e-6
+
+
+def test_every_window_is_trained_on():
+    rng = np.random.default_rng(8)
+    sizes = np.array([5, 1, 400, 16, 33, 70])
+    ids = rng.integers(2, 300, sizes.sum()).astype(np.uint16)
+    texts = [a.tobytes() for a in np.split(ids, np.cumsum(sizes)[:-1])]
+    batches = [pa.record_batch([pa.array(part, pa.binary())], ["ids"]) for part in (texts[:2], texts[2:])]
+    runs = list(lm._runs(iter(batches), 1, 7))
+    assert [len(r[0]) for r in runs[:-1]] == [7] * (len(runs) - 1)
+    want = windows(ids.astype(np.int32), sizes, 1)[:3]
+    assert all((np.concatenate(got) == whole).all() for got, whole in zip(zip(*runs), want))
+
+
+def test_small_tables_are_trained_on(spark):
+    free = [d for d in range(60) if not held(d)][:3]
+    docs = spark.createDataFrame([(d, f"one two three {d} four five six") for d in free], "doc_id long, text string")
+    score = lambda **how: sum(r.score for r in lm.score_documents(docs, how=lm.Training(**how)).collect())
+    assert score() > score(rounds=0) + 0.1
+
+
+def test_untrained_classes_keep_their_frequencies(spark):
+    """Without training and neighbours' buckets, the order of words changes nothing."""
+    docs = spark.createDataFrame([(d, t) for d in range(20) for t in ("one two three four", "four three one two")], "doc_id long, text string")
+    got = {r.score for r in lm.score_documents(docs, how=lm.Training(rounds=0, prior=1e12)).collect()}
+    assert max(got) - min(got) < 1e-4
