@@ -5,7 +5,7 @@ segment is variable if its form is that of an id, or if the distinct segments
 seen there are many for the number of pages; it then becomes a wildcard. Templates
 of one host that differ only in literal segments are branches of one skeleton;
 those whose labelled rate is statistically like that of the skeleton are merged
-into it. A template is rejected where the smoothed share of bad labels reaches
+into it, and so are branches without labels. A template is rejected where the smoothed share of bad labels reaches
 the threshold.
 """
 
@@ -68,7 +68,7 @@ def templates(pages: DataFrame, *, min_children: int = 16, max_repeat: float = 4
     branches = branches.join(trunks, ["host", "skeleton"])
     pooled = (F.col("all_bad") + prior_weight * prior) / (F.col("all_labelled") + prior_weight)
     spread = F.sqrt(pooled * (1 - pooled) * F.greatest(F.col("labelled"), F.lit(1)))
-    like = (F.col("labelled") == 0) & (F.col("all_labelled") == 0) | (F.col("labelled") > 0) & (F.abs(F.col("bad_labels") - F.col("labelled") * pooled) <= z * spread + 1e-9)
+    like = F.abs(F.col("bad_labels") - F.col("labelled") * pooled) <= z * spread + 1e-9
     branches = branches.withColumn("merged", F.when(like, F.col("skeleton")).otherwise(F.col("template")))
     final = branches.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad_labels").alias("bad_labels"))
     final = final.withColumn("smoothed", (F.col("bad_labels") + prior_weight * prior) / (F.col("labelled") + prior_weight))
