@@ -3,9 +3,11 @@
 A page is parsed into its block elements; inline markup counts as tags of the
 block it is in. The density of a node is its characters per tag, adjusted for the
 share of link text; the density sum of a node adds up its children's densities.
-The node with the greatest sum holds the article. The least density on its path
-to the body is the threshold that any larger container must reach to be taken
-instead: the outermost article or main element around it, if there is one.
+The node with the greatest sum holds the article, or the outermost article or
+main element around it. Without such an element, the article may be in several
+containers: the least density on the path to the body is the threshold for all
+nodes from the body down, and the node with the greatest sum in each that reaches
+it is part of the article.
 """
 
 from __future__ import annotations
@@ -203,9 +205,8 @@ class Page:
             out.append(c / t * max(0.0, math.log(ratio)) / math.log(math.log(linked + math.e) + math.e - 1) if ratio > 0 else 0.0)
         return out
 
-    def article(self) -> int:
-        """The node whose subtree is the article."""
-        density = self.densities()
+    def _sums(self, density: list[float]) -> list[float]:
+        """Density sum of every node."""
         total = [0.0] * len(self.tag)
         leaf = [True] * len(self.tag)
         for k in range(len(self.tag) - 1, 0, -1):
@@ -217,28 +218,65 @@ class Page:
                 total[self.parent[k]] += density[k]
             leaf[self.parent[k]] = False
         total[0] = total[0] + self.direct[0] if not leaf[0] else density[0]
+        return total
+
+    def _path(self, k: int) -> list[int]:
+        """k and the nodes around it, the document last."""
+        path = []
+        while k >= 0:
+            path.append(k)
+            k = self.parent[k]
+        return path
+
+    def article(self) -> int:
+        """The node whose subtree holds the article's densest part."""
+        total = self._sums(self.densities())
         best = 0
         for k in range(1, len(total)):
             if not self.apart[k] and total[k] > total[best]:
                 best = k
-        path, k = [], best
-        while k >= 0:
-            path.append(k)
-            k = self.parent[k]
-        threshold = min((density[k] for k in path if density[k] > 0), default=0.0)
-        for k in reversed(path):
-            if self.tag[k] in ("article", "main") and density[k] >= threshold:
-                return k
-        return best
+        return next((k for k in reversed(self._path(best)) if self.tag[k] in ("article", "main")), best)
+
+    def _reaches(self, k: int, least: int, density: list[float]) -> bool:
+        """Whether k is as dense as the node least. As densities grow with size, it is enough to have as many characters a tag and no larger share of link text."""
+        if density[k] >= density[least] > 0:
+            return True
+        longer = self.chars[k] * max(1, self.tags[least]) >= self.chars[least] * max(1, self.tags[k])
+        return density[k] > 0 and longer and self.link_chars[k] * self.chars[least] <= self.link_chars[least] * self.chars[k]
+
+    def contents(self) -> list[bool]:
+        """Whether each node is in the article."""
+        top = self.article()
+        kept = [False] * len(self.tag)
+        kept[top] = True
+        if self.tag[top] not in ("article", "main"):
+            density = self.densities()
+            total = self._sums(density)
+            path = self._path(top)
+            if "body" in (names := [self.tag[k] for k in path]):
+                path = path[: names.index("body") + 1]
+            least = min((k for k in path if density[k] > 0), key=density.__getitem__, default=path[0])
+            peak = list(range(len(self.tag)))
+            for k in range(len(self.tag) - 1, 0, -1):
+                up = self.parent[k]
+                if not self.apart[k] and total[peak[k]] >= total[peak[up]]:
+                    peak[up] = peak[k]
+            reached = [False] * len(self.tag)
+            for k in range(path[-1], self.last[path[-1]]):
+                reached[k] = (k == path[-1] or reached[self.parent[k]]) and not self.apart[k] and self._reaches(k, least, density)
+                if reached[k]:
+                    kept[peak[k]] = True
+        for k in range(1, len(kept)):
+            kept[k] = (kept[k] or kept[self.parent[k]]) and not self.apart[k]
+        return kept
 
     def text(self) -> str:
         """The article's blocks, one a line."""
-        top = self.article()
-        end = self.last[top]
+        kept = self.contents()
         blocks: list[str] = []
         current, parts = -1, []
         for node, run, text in self.pieces:
-            if top <= node < end and not self.apart[node]:
+            if kept[node]:
                 if run != current:
                     blocks.append("".join(parts))
                     current, parts = run, []

@@ -50,6 +50,16 @@ def test_known_articles():
         assert html_text.extract(source) == want, source
 
 
+def test_article_in_several_containers():
+    rng = random.Random(9)
+    for sizes in ((3, 3), (10, 10), (4, 4, 4), (10, 3)):
+        texts = [[sentence(rng, 50) for _ in range(n)] for n in sizes]
+        parts = "".join("<div>" + "".join(f"<p>{html.escape(t)}</p>" for t in part) + "</div>" for part in texts)
+        links = "<div>" + "".join(f"<a href='/{k}'>go there {k}</a>" for k in range(20)) + "</div>"
+        for source in (f"<body><div class=content>{parts}</div></body>", f"<body>{links}<div class=content>{parts}</div>{links}</body>"):
+            assert html_text.extract(source) == "\n".join(t for part in texts for t in part), source
+
+
 def test_odd_pages():
     cases = {
         None: "", "": "", "   ": "", "plain  text\n here": "plain text here", "<p>a<p>b": "a\nb", "<p>cut <b>off</b> and a ta<i": "cut off and a ta",
