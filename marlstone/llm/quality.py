@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic exceeds a cutoff. The cutoffs of a
-stratum come from labelled documents: along a fixed grid, from lenient to strict,
-a cutoff is certified while the exact binomial test shows that it rejects fewer
-good documents than the rule's share of the allowed rate. Testing along a fixed
-sequence needs no correction within a rule; the level is divided by the number of
-strata and rules. Of the certified cutoffs, the one that rejects most bad
-documents, net of good ones, is taken; none is taken if none does.
+stratum come from labelled documents, in two ways. Together: all rules go along
+their grids, from lenient to strict, in STEPS fixed steps, certified while the
+exact binomial test shows that they reject fewer good documents, by any rule, than
+the allowed rate; cutoffs no stricter than certified ones need no test. Apart:
+each rule goes along its grid alone at its share of the allowed rate. Testing
+along a fixed sequence needs no correction within it; the level is divided by the
+strata, half of it for each way, and for the second by the rules. Of a rule's
+certified cutoffs, the one that rejects most bad documents, net of good ones, is
+taken; none is taken if none does. The way with the greater net is taken.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -40,6 +45,14 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "short words": ("-word_chars / n_words", (-1.0, -1.25, -1.5, -1.75, -2.0, -2.5, -3.0, -3.5, -4.0)),
 }
 
+#: Steps of all rules together; a rule's cutoff at step k is the one at that share of its grid.
+STEPS = max(len(grid) for _, grid in RULES.values())
+
+
+def at_step(k: int, size: int) -> int:
+    """Number, from 1, of the cutoff at step k, from 1, in a grid of the size."""
+    return -(-k * size // STEPS)
+
 
 @dataclass(frozen=True)
 class Risk:
@@ -132,43 +145,63 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def choose(good: np.ndarray, bad: np.ndarray, max_false: float, level: float) -> int:
-    """Number, from 1, of the cutoff to take (0: none). good, bad: counts of documents by how many cutoffs they exceed; the k-th rejects those that exceed all but k - 1."""
-    n = int(good.sum())
-    lost, won = np.cumsum(good[::-1]), np.cumsum(bad[::-1])
-    best, gain = 0, 0
+def certified(good: np.ndarray, max_false: float, level: float) -> int:
+    """Number of cutoffs, from lenient to strict, that are certified. good: counts of good documents by how many cutoffs they exceed."""
+    n, lost = int(good.sum()), np.cumsum(good[::-1])
     for k in range(1, len(good)):
         if lost[k - 1] >= n or binomial_below(int(lost[k - 1]), n, max_false) > level:
-            break
-        if won[k - 1] - lost[k - 1] > gain:
-            best, gain = k, won[k - 1] - lost[k - 1]
-    return best
+            return k - 1
+    return len(good) - 1
+
+
+def best_of(good: np.ndarray, bad: np.ndarray, most: int) -> tuple[int, int]:
+    """(number, net) of the first of the most cutoffs that rejects most bad documents, net of good ones; (0, 0) if none does."""
+    net = np.concatenate(([0], (np.cumsum(bad[::-1]) - np.cumsum(good[::-1]))[:most]))
+    return int(net.argmax()), int(net.max())
+
+
+def choose(good: np.ndarray, bad: np.ndarray, max_false: float, level: float) -> int:
+    """Number, from 1, of the cutoff to take (0: none). good, bad: counts of documents by how many cutoffs they exceed; the k-th rejects those that exceed all but k - 1."""
+    return best_of(good, bad, certified(good, max_false, level))[0]
 
 
 def calibrate(features: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
     """From features (doc_id, stratum, FEATURES) and labels (doc_id, quality): one row (stratum, cutoffs array<double>, bounds array<double>) per stratum, in the order of RULES.
 
-    A null cutoff means that the rule rejects nothing there. Documents that the
+    A null cutoff means that the rule rejects nothing there. A bound is of the
+    good documents that the rule rejects, or all rules if they are certified
+    together. With no good document lost, the latter needs ln(level / 2 strata) /
+    ln(1 - max_false) good ones: 99 of each of four strata at the default. Documents that the
     base rules reject take no part. Of several labels of a document, the highest
     counts. All labelled documents are counted; only the counts are gathered.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     rows = features.filter(~base_failed()).join(marks, "doc_id")
     exceeded = [F.struct(F.lit(k).alias("rule"), sum(((_statistic(name) > c).cast("int") for c in grid), F.lit(0)).alias("passed")) for k, (name, (_, grid)) in enumerate(RULES.items())]
+    steps = (reduce(or_, (_statistic(name) > grid[at_step(k, len(grid)) - 1] for name, (_, grid) in RULES.items())) for k in range(1, STEPS + 1))
+    exceeded.append(F.struct(F.lit(len(RULES)).alias("rule"), sum((any_.cast("int") for any_ in steps), F.lit(0)).alias("passed")))
     counts = rows.select(F.col(stratum).alias("stratum"), "_quality", F.explode(F.array(*exceeded)).alias("e"))
     counts = cut(counts.groupBy("stratum", "e.rule", "e.passed").agg(F.sum((F.col("_quality") > 0).cast("long")).alias("good"), F.sum((F.col("_quality") <= 0).cast("long")).alias("bad")))
     strata = counts.select("stratum").distinct().count()
-    level, share = risk.level / max(1, strata * len(RULES)), risk.max_false / len(RULES)
+    level = risk.level / max(1, 2 * strata)
+    own_level, share = level / len(RULES), risk.max_false / len(RULES)
     grids = [grid for _, grid in RULES.values()]
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        cutoffs, bounds = [], []
-        for rule, grid in enumerate(grids):
+        def counted(rule: int, size: int) -> list[np.ndarray]:
             own = pdf[pdf.rule == rule]
-            good, bad = (np.bincount(own.passed, own[c], len(grid) + 1).astype(np.int64) for c in ("good", "bad"))
-            k = choose(good, bad, share, level)
-            cutoffs.append(grid[k - 1] if k else None)
-            bounds.append(upper_bound(int(good[len(grid) - k + 1 :].sum()), int(good.sum()), level) if k else None)
+            return [np.bincount(own.passed, own[c], size + 1).astype(np.int64) for c in ("good", "bad")]
+
+        joint, _ = counted(len(grids), STEPS)
+        step = certified(joint, risk.max_false, level)
+        each = [counted(rule, len(grid)) for rule, grid in enumerate(grids)]
+        together = [best_of(*c, at_step(step, len(grid)) if step else 0) for c, grid in zip(each, grids)]
+        apart = [best_of(*c, certified(c[0], share, own_level)) for c in each]
+        alone = sum(net for _, net in apart) > sum(net for _, net in together)
+        taken = [k for k, _ in (apart if alone else together)]
+        of_all = upper_bound(int(joint[STEPS - step + 1 :].sum()), int(joint.sum()), level)
+        cutoffs = [grid[k - 1] if k else None for k, grid in zip(taken, grids)]
+        bounds = [(upper_bound(int(good[len(grid) - k + 1 :].sum()), int(good.sum()), own_level) if alone else of_all) if k else None for k, grid, (good, _) in zip(taken, grids, each)]
         return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "cutoffs": [cutoffs], "bounds": [bounds]})
 
     return cut(counts.groupBy("stratum").applyInPandas(certify, f"stratum {dict(features.dtypes)[stratum]}, cutoffs array<double>, bounds array<double>"))

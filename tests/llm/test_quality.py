@@ -76,6 +76,29 @@ def test_certified_rules_limit_false_rejections(spark):
     assert quality.quality_report(docs.limit(0), marks).count() == 0
 
 
+def test_small_strata_get_cutoffs(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        rows.append((i, " ".join(f"word{rng.randint(0, 99999)}" + ("###" if bad else "") for _ in range(60)), ("en", "de", "fr", "es")[i % 4], "s", 1, ""))
+        labels.append((i, int(not bad)))
+    got = quality.quality_report(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {r.doc_id for r in got.collect() if r.kept} == {i for i in range(600) if i % 5}
+
+
+def test_joint_cutoffs_stop_at_the_allowed_rate(spark):
+    """Good documents that the strict cutoffs reject too: no more than max_false of them is lost."""
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(600):
+        bad, odd = i % 5 == 0, i % 5 == 1
+        rows.append((i, " ".join(f"word{rng.randint(0, 99999)}" + ("###" if bad or odd and rng.random() < 0.4 else "") for _ in range(60)), "en", "s", 1, ""))
+        labels.append((i, int(not bad)))
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(got[i] for i in got if i % 5 == 0) and sum(not got[i] for i in got if i % 5) <= 0.05 * 480
+
+
 def test_report_matches_plain_on_documents(spark):
     from marlstone.llm import registry
 
