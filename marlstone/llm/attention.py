@@ -1,10 +1,12 @@
 """A causal self-attention language model in numpy.
 
 One head of attention over the last block and the present one. Token vectors come
-from corpus counts and stay fixed, so queries, keys and values are tables by
-token; distances have a learnt bias. The next token is predicted by class, then
-within the class by corpus counts: P(token) = P(class | context) P(token | class,
-bucket of the token before).
+from corpus counts and stay fixed. A query meets the key of a token by a learnt
+matrix between their vectors (the product of a query and a key projection), plus a
+learnt bias of the distance; what attention gathers reaches the classes by another
+(the product of a value and an output projection). The next token is predicted by
+class, then within the class by corpus counts: P(token) = P(class | context)
+P(token | class, bucket of the token before).
 """
 
 from __future__ import annotations
@@ -15,7 +17,12 @@ import numpy as np
 
 #: Tokens scored by a window; it also sees as many before them.
 STRIDE = 16
+#: Consecutive windows that training draws together, so that they share what they see.
+RUN = 8
+#: Runs of a training step.
+BATCH = 16
 PAD = 65535
+_GAP = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]
 
 
 @dataclass
@@ -32,27 +39,39 @@ class Attention:
     @staticmethod
     def initial(dims: int, classes: int, seed: int = 1) -> dict[str, np.ndarray]:
         rng = np.random.default_rng(seed)
-        make = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        return {"q": make(dims, dims), "k": make(dims, dims), "v": make(dims, dims), "out": make(dims, classes) * np.float32(0.3), "own": make(dims, classes) * np.float32(0.3), "bias": np.zeros(classes, np.float32), "far": np.zeros(2 * STRIDE, np.float32)}
+        make = lambda *shape: (rng.standard_normal(shape) / dims).astype(np.float32)
+        return {"match": make(dims, dims), "carry": make(dims, classes), "own": make(dims, classes), "bias": np.zeros(classes, np.float32), "far": np.zeros(2 * STRIDE, np.float32)}
 
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
-    @property
-    def scale(self) -> np.float32:
-        return np.float32(1 / np.sqrt(self.vectors.shape[1]))
+    def with_weights(self, weights: dict[str, np.ndarray]) -> Attention:
+        return Attention(self.vectors, self.classes, self.within, weights, self.bucket)
 
-    def tables(self) -> tuple:
-        if self._tables is None:
-            w, e = self.weights, self.vectors
-            self._tables = (e @ w["q"] * self.scale, e @ w["k"], e @ w["v"], e @ w["own"] + w["bias"], self.mask(w["far"]))
-        return self._tables
+    def _seen(self) -> np.ndarray:
+        """The vectors with a last column of ones, whose weighted sum is the sum of the weights."""
+        return np.concatenate([self.vectors, np.ones_like(self.vectors[:, :1])], 1)
 
     @staticmethod
     def mask(far: np.ndarray) -> np.ndarray:
         """(STRIDE, 2 STRIDE): the bias of each distance; later tokens are out of sight."""
-        gap = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]
-        return np.where(gap >= 0, far[np.clip(gap, 0, 2 * STRIDE - 1)], np.float32(-1e9)).astype(np.float32)
+        return np.where(_GAP >= 0, far[np.clip(_GAP, 0, 2 * STRIDE - 1)], np.float32(-1e9)).astype(np.float32)
+
+    @staticmethod
+    def _attend(queries: np.ndarray, seen: np.ndarray, mask: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weights, gathered, windows): masked attention of runs of blocks. queries: runs x blocks x STRIDE x dims; seen: runs x (blocks + 1) STRIDE x (dims + 1), a block before the first; alone: whether a block begins a text and sees none before it."""
+        runs, blocks, _, dims = queries.shape
+        a, b, c = seen.strides
+        windows_ = np.lib.stride_tricks.as_strided(seen, (runs, blocks, 2 * STRIDE, dims + 1), (a, STRIDE * b, b, c))
+        p = np.matmul(queries, windows_[..., :dims].swapaxes(2, 3))
+        np.clip(p, -60, 60, out=p)
+        p += mask
+        p[alone, :, :STRIDE] = -1e9
+        np.exp(p, out=p)
+        gathered = np.matmul(p, windows_)
+        total = gathered[..., dims:]
+        p /= total
+        return p, gathered[..., :dims] / total, windows_
 
     def score(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, run: int = 256) -> np.ndarray:
         """Natural log probabilities (blocks x STRIDE), 0 where target is PAD.
@@ -60,78 +79,79 @@ class Attention:
         given: inputs of consecutive blocks; target: what follows each input. A
         block also sees the one before it, unless alone says that a text begins.
         """
-        tq, tk, tv, town, mask = self.tables()
-        dims = tq.shape[1]
-        here, seen = np.concatenate([tq, town], 1), np.concatenate([tk, tv], 1)
-        inputs = np.where(given == PAD, 0, given)
-        inputs = np.concatenate([np.zeros_like(inputs[:1]), inputs])
+        w, dims = self.weights, self.vectors.shape[1]
+        if self._tables is None:
+            self._tables = self._seen(), np.concatenate([self.vectors @ w["match"], self.vectors @ w["own"] + w["bias"]], 1), self.mask(w["far"]), self.within.ravel()
+        seen, here, mask, within = self._tables
+        inputs = np.concatenate([np.zeros_like(given[:1]), np.where(given == PAD, 0, given)])
         real = target != PAD
         safe = np.where(real, target, 0)
         classes = self.classes[safe]
+        ones = np.ones(here.shape[1] - dims, np.float32)
         out = np.empty(target.shape)
         for a in range(0, len(given), run):
             b = min(len(given), a + run)
             ids = inputs[a : b + 1].ravel()
-            both = np.take(seen, ids, 0, mode="clip")
-            unit = both.strides
-            windows_ = np.lib.stride_tricks.as_strided(both, (b - a, 2 * STRIDE, 2 * dims), (STRIDE * unit[0], *unit))
             own = np.take(here, ids[STRIDE:], 0, mode="clip")
-            s = np.matmul(own[:, :dims].reshape(b - a, STRIDE, dims), windows_[:, :, :dims].transpose(0, 2, 1))
-            np.clip(s, -60, 60, out=s)
-            s += mask
-            s[alone[a:b], :, :STRIDE] = -1e9
-            np.exp(s, out=s)
-            h = np.matmul(s, windows_[:, :, dims:])
-            h /= s.sum(2, keepdims=True)
-            logits = h.reshape(-1, dims) @ self.weights["out"]
+            _, gathered, _ = self._attend(own[:, :dims].reshape(1, b - a, STRIDE, dims), np.take(seen, ids, 0, mode="clip")[None], mask, alone[None, a:b])
+            logits = gathered.reshape(-1, dims) @ w["carry"]
             logits += own[:, dims:]
             np.clip(logits, -60, 60, out=logits)
-            chosen = np.take_along_axis(logits, classes[a:b].reshape(-1, 1), 1)[:, 0]
+            chosen = np.take(logits, np.arange(len(logits)) * len(ones) + classes[a:b].ravel())
             np.exp(logits, out=logits)
-            out[a:b] = (chosen - np.log(logits.sum(1))).reshape(b - a, STRIDE)
+            out[a:b] = (chosen - np.log(logits @ ones)).reshape(b - a, STRIDE)
         after = 0 if self.bucket is None else self.bucket[inputs[1:]]
-        out += self.within[safe, after]
+        out += np.take(within, safe * self.within.shape[1] + after)
         out[~real] = 0
         return out
 
-    def gradients(self, before: np.ndarray, given: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients of the mean class loss, and that loss."""
-        w, e = self.weights, self.vectors
-        keys = np.concatenate([before, given], 1)
-        known = keys != PAD
-        x = e[np.where(known, keys, 0)]
-        own = x[:, STRIDE:]
-        q, k, v = own @ w["q"] * self.scale, x @ w["k"], x @ w["v"]
-        s = np.clip(np.matmul(q, k.transpose(0, 2, 1)), -60, 60) + self.mask(w["far"])
-        s[~known[:, 0], :, :STRIDE] = -1e9
-        p = np.exp(s - s.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
-        h = np.matmul(p, v)
+    def gradients(self, before: np.ndarray, given: np.ndarray, target: np.ndarray, alone: np.ndarray, seen: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients of the mean class loss, and that loss. given, target: runs x blocks x STRIDE; before: the block before each run; seen: _seen()."""
+        w, dims = self.weights, self.vectors.shape[1]
+        runs, blocks, _ = given.shape
+        ids = np.concatenate([before[:, None], given], 1).reshape(runs, -1)
+        x = np.take(seen, np.where(ids == PAD, 0, ids), 0, mode="clip")
+        own = x[:, STRIDE:, :dims].reshape(-1, dims)
+        queries = (own @ w["match"]).reshape(runs, blocks, STRIDE, dims)
+        p, gathered, windows_ = self._attend(queries, x, self.mask(w["far"]), alone)
+        both = np.concatenate([gathered.reshape(-1, dims), own], 1)
+        d = both @ np.concatenate([w["carry"], w["own"]])
+        d += w["bias"]
+        np.clip(d, -60, 60, out=d)
         real = (target != PAD).ravel()
         n = max(1, int(real.sum()))
-        wanted = self.classes[np.where(target != PAD, target, 0)].ravel()
-        logits = h.reshape(len(wanted), -1) @ w["out"] + own.reshape(len(wanted), -1) @ w["own"] + w["bias"]
-        logits -= logits.max(1, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(1, keepdims=True)
-        loss = -float(np.log(d[np.arange(len(wanted)), wanted][real] + 1e-30).sum()) / n
-        d[np.arange(len(wanted)), wanted] -= 1
-        d *= real[:, None] / np.float32(n)
-        dh = (d @ w["out"].T).reshape(h.shape)
-        dp = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(p.transpose(0, 2, 1), dh)
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, k) * self.scale, np.matmul(ds.transpose(0, 2, 1), q)
-        dims = x.shape[2]
-        gap = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]
-        far = np.bincount(np.clip(gap, 0, 2 * STRIDE - 1)[gap >= 0], ds.sum(0)[gap >= 0], 2 * STRIDE).astype(np.float32)
-        flat = lambda a: a.reshape(-1, dims)
-        return {"q": flat(own).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "out": flat(h).T @ d, "own": flat(own).T @ d, "bias": d.sum(0), "far": far}, loss
-
-    def train(self, before: np.ndarray, given: np.ndarray, target: np.ndarray, *, rate: float, passes: int, batch: int = 64, seed: int = 0) -> dict[str, np.ndarray]:
-        """Weights after Adam over the windows in a shuffled order."""
+        at = np.arange(len(d)) * d.shape[1] + self.classes[np.where(target != PAD, target, 0)].ravel()
+        chosen = np.take(d, at)
+        np.exp(d, out=d)
+        total = d @ np.ones(d.shape[1], np.float32)
+        loss = float((np.log(total) - chosen)[real].sum()) / n
+        share = (real / np.float32(n)).astype(np.float32)
+        d *= (share / total)[:, None]
+        flat = d.reshape(-1)
+        flat[at] -= share
+        outer = both.T @ d
+        up = (d @ w["carry"].T).reshape(queries.shape)
+        ds = np.matmul(up, windows_[..., :dims].swapaxes(2, 3))
+        ds -= (up * gathered).sum(3, keepdims=True)
+        ds *= p
+        met = np.matmul(ds, windows_[..., :dims]).reshape(-1, dims)
+        by_gap = ds.reshape(-1, STRIDE * 2 * STRIDE)
+        by_gap = np.ones(len(by_gap), np.float32) @ by_gap
+        far = np.bincount(np.clip(_GAP, 0, 2 * STRIDE - 1)[_GAP >= 0], by_gap.reshape(STRIDE, 2 * STRIDE)[_GAP >= 0], 2 * STRIDE).astype(np.float32)
+        return {"match": own.T @ met, "carry": outer[:dims], "own": outer[dims:], "bias": np.ones(len(d), np.float32) @ d, "far": far}, loss
+
+    def train(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, *, rate: float, passes: int = 1, batch: int = BATCH, seed: int = 0) -> dict[str, np.ndarray]:
+        """Weights after Adam over all windows of consecutive blocks, in batches of so many runs in a shuffled order."""
         rng = np.random.default_rng(seed)
-        model = Attention(self.vectors, self.classes, self.within, {k: v.copy() for k, v in self.weights.items()}, self.bucket)
+        model = self.with_weights({k: v.copy() for k, v in self.weights.items()})
+        seen = self._seen()
+        fill = -len(given) % RUN
+        given, target = (np.concatenate([x, np.full((fill, STRIDE), PAD, x.dtype)]) for x in (given, target))
+        alone = np.concatenate([alone, np.ones(fill, bool)])
+        before = np.concatenate([np.full((1, STRIDE), PAD, given.dtype), given[RUN - 1 : -1 : RUN]])
+        given, target, alone = given.reshape(-1, RUN, STRIDE), target.reshape(-1, RUN, STRIDE), alone.reshape(-1, RUN)
+        if len(alone):
+            alone[0, 0] = True
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
@@ -139,7 +159,7 @@ class Attention:
             order = rng.permutation(len(given))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
-                slopes, _ = model.gradients(before[own], given[own], target[own])
+                slopes, _ = model.gradients(before[own], given[own], target[own], alone[own], seen)
                 step += 1
                 for name, g in slopes.items():
                     mean[name] += np.float32(0.1) * (g - mean[name])
@@ -198,7 +218,7 @@ def within_classes(counts: np.ndarray, classes: np.ndarray, number: int, weight:
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(before, given, target, text) of all texts: ids in a row, sizes[i] of text i, each text beginning from the token start. Every id is a target once."""
+    """(given, target, alone, text) of all texts' blocks: ids in a row, sizes[i] of text i, each text beginning from the token start; alone marks its first block. Every id is a target once."""
     blocks = -(-sizes // STRIDE)
     ends = np.cumsum(blocks)
     total = int(ends[-1]) if len(ends) else 0
@@ -211,8 +231,6 @@ def windows(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray,
     shifted[1:] = ids[:-1]
     shifted[begin[sizes > 0]] = start
     target[place], given[place] = ids, shifted
-    target, given = target.reshape(-1, STRIDE), given.reshape(-1, STRIDE)
-    before = np.full_like(given, PAD)
-    before[1:] = given[:-1]
-    before[first[sizes > 0]] = PAD
-    return before, given, target, np.repeat(np.arange(len(sizes)), blocks)
+    alone = np.zeros(total, bool)
+    alone[first[sizes > 0]] = True
+    return given.reshape(-1, STRIDE), target.reshape(-1, STRIDE), alone, np.repeat(np.arange(len(sizes)), blocks)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .attention import PAD, STRIDE, Attention
+from .attention import Attention
 from .common import Scratch, cut, small_batches
 from .words import Words, chunks
 
@@ -39,15 +39,16 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Training:
-    """shard: windows shuffled and trained on at a time; rounds of local training over all windows, each with an average of all partitions."""
+    """shard: windows shuffled and trained on at a time; rounds of local training over all windows, each with an average of all partitions; least: steps that a partition with fewer than a shard's windows makes by going over them again."""
 
     dims: int = 16
-    classes: int = 64
-    buckets: int = 64
+    classes: int = 32
+    buckets: int = 128
     #: Tokens that a class's own shares count for in each bucket.
     prior: float = 20.0
     shard: int = 16_000
-    rounds: int = 3
+    rounds: int = 1
+    least: int = 100
     rate: float = 0.02
     seed: int = 7
 
@@ -64,29 +65,40 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
+        """Slot 0 is the end token; a slot's ids are length of them from begin in pool. The arrays have room to grow."""
         self.slots: dict[int, int] = {}
-        self.pool, self.ends = np.array([self.end], np.int32), np.array([0, 1], np.int64)
+        self.pool, self.used = np.full(1 << 16, self.end, np.uint16), 1
+        self.begin, self.length, self.known = np.zeros(1 << 14, np.int32), np.ones(1 << 14, np.int32), 1
+
+    @staticmethod
+    def _put(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(held):
+            held = np.concatenate([held[:used], np.zeros(max(used, len(more)), held.dtype)])
+        held[used : used + len(more)] = more
+        return held
 
     def of(self, w: Words, kinds: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes): the ids of each text's words, then the end token. kinds, at, which: np.unique of the words' hashes."""
         if len(self.slots) > self.KEEP:
             self._clear()
-        known = self.slots
-        slot = np.fromiter(map(known.get, kinds.tolist(), itertools.repeat(-1)), np.int64, len(kinds))
+        slot = np.fromiter(map(self.slots.get, kinds.tolist(), itertools.repeat(-1)), np.int64, len(kinds))
         new = np.flatnonzero(slot < 0)
         if len(new):
             data = w.data.tobytes()
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist())]
             coded = self.processor.encode(texts, num_threads=1)
-            first = len(self.ends) - 1
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
-            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
-            slot[new] = first + np.arange(len(new))
-            known.update(zip(kinds[new].tolist(), slot[new].tolist()))
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            n = int(sizes.sum())
+            slot[new] = self.known + np.arange(len(new))
+            self.begin = self._put(self.begin, self.known, self.used + np.cumsum(sizes) - sizes)
+            self.length = self._put(self.length, self.known, sizes)
+            self.pool = self._put(self.pool, self.used, np.fromiter(itertools.chain.from_iterable(coded), np.uint16, n))
+            self.known, self.used = self.known + len(new), self.used + n
+            self.slots.update(zip(kinds[new].tolist(), slot[new].tolist()))
         units = np.insert(slot[which], w.first[1:], 0)
-        size = self.ends[units + 1] - self.ends[units]
+        size = self.length[units].astype(np.int64)
         stop = np.cumsum(size)
-        ids = self.pool[np.repeat(self.ends[units] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ids = self.pool[np.repeat(self.begin[units] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(np.int32)
         last = np.cumsum(w.counts + 1) - 1
         upto = stop[last] if len(last) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate(([0], upto)))
@@ -128,9 +140,10 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = _coder(coder)
-        cells = np.zeros(sub.size * 2 * how.buckets, np.int64)
+        # at most one count for each token of a partition's texts, so 32 bits are enough below 2**31 of them
+        cells = np.zeros(sub.size * 2 * how.buckets, np.int32)
+        counted = 0
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: list[np.ndarray] = []
         held = docs = 0
         for batch in batches:
             for i, j in chunks(batch.column(0)):
@@ -152,18 +165,17 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                 after = np.concatenate((ids[1:], [sub.start]))
                 after[ends - 1] = sub.start
                 for side, near in enumerate((before, after)):
-                    bucket = bucket_of(near, how.buckets)
-                    seen.append((ids * 2 + side) * how.buckets + bucket)
-                if sum(map(len, seen)) > 2_000_000:
-                    cells += np.bincount(np.concatenate(seen), minlength=len(cells))
-                    seen.clear()
+                    np.add.at(cells, (ids * 2 + side) * how.buckets + bucket_of(near, how.buckets), np.int32(1))
+                counted += len(ids)
+                if counted > 1 << 30:
+                    some = np.flatnonzero(cells)
+                    yield batch_of(CELL, some, cells[some])
+                    cells[:], counted = 0, 0
                 upto = np.concatenate(([0], 2 * ends)).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(upto), pa.py_buffer(ids.astype(np.uint16))])
                 yield batch_of(TEXT, np.zeros(len(sizes), np.int64), sizes, packed)
         if parts:
             yield batch_of(WORD, *_merged(parts))
-        if seen:
-            cells += np.bincount(np.concatenate(seen), minlength=len(cells))
         some = np.flatnonzero(cells)
         if len(some):
             yield batch_of(CELL, some, cells[some])
@@ -174,7 +186,7 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(before, given, target) of every window of the texts' ids in a stream, size windows at a time."""
+    """(given, target, alone) of every window of the texts' ids in a stream, size windows at a time, of which the first sees none before it."""
     held: list[tuple] = []
     count = 0
     for batch in batches:
@@ -209,9 +221,7 @@ def train_attention(gathered: DataFrame, vocabulary: int, start_id: int, how: Tr
     model.weights["bias"] = np.log(share / share.sum()).astype(np.float32)
     texts = gathered.filter(F.col("kind") == TEXT).select("ids")
     if not how.rounds or texts.isEmpty():
-        for k in ("out", "own"):
-            model.weights[k] = np.zeros_like(model.weights[k])
-        return model
+        return model.with_weights(model.weights | {k: np.zeros_like(model.weights[k]) for k in ("carry", "own")})
     names = list(model.weights)
     shapes = {k: model.weights[k].shape for k in names}
     for turn in range(how.rounds):
@@ -219,9 +229,9 @@ def train_attention(gathered: DataFrame, vocabulary: int, start_id: int, how: Tr
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seed, n = shared.value, TaskContext.get().partitionId() * 31 + turn, 0
-            for before, given, target in _runs(batches, start_id, how.shard):
-                weights = own.train(before, given, target, rate=how.rate / (1 + 2 * turn), passes=1, seed=seed)
-                own = Attention(own.vectors, own.classes, own.within, weights, own.bucket)
+            for given, target, alone in _runs(batches, start_id, how.shard):
+                passes = 1 if n or len(given) == how.shard else max(1, how.least * attention.BATCH * attention.RUN // len(given))
+                own = own.with_weights(own.train(given, target, alone, rate=how.rate / (1 + 2 * turn), passes=passes, seed=seed))
                 n += len(given)
             if n:
                 flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(float)
@@ -233,7 +243,7 @@ def train_attention(gathered: DataFrame, vocabulary: int, start_id: int, how: Tr
             size = int(np.prod(shapes[k]))
             weights[k] = flat[start : start + size].reshape(shapes[k])
             start += size
-        model = Attention(vectors, classes, within, weights, bucket)
+        model = model.with_weights(weights)
     return model
 
 
@@ -290,8 +300,8 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
                 rest = np.flatnonzero(~hit)
                 first = np.concatenate(([0], np.cumsum(np.bincount(w.row[rest], minlength=n)))).astype(np.int32)
                 ids, sizes = sub.of(w, kinds, at, which)
-                back, given, target, text = attention.windows(ids, sizes, sub.start)
-                score = np.bincount(text, own.score(given, target, back[:, 0] == PAD).sum(1), n) / math.log(10)
+                given, target, alone, text = attention.windows(ids, sizes, sub.start)
+                score = np.bincount(text, own.score(given, target, alone).sum(1), n) / math.log(10)
                 tail = pa.ListArray.from_arrays(pa.array(first), pa.array(keys[which[rest]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), tail], names=["doc_id", "n_tokens", "known", "logs", "score", "tail"])
 
