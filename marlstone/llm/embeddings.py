@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by a subspace pigeonhole join.
 
-Unit vectors are rotated and split into blocks of a few dimensions. A pair whose
-squared distance is within the budget 2 - 2 * cosine has at least one block whose
-squared distance is within that block's share of it, shares going by dimensions.
+Unit vectors are rotated to their principal axes, which are dealt to blocks of a few
+dimensions, so that each block has one of the widest axes first. A pair whose squared
+is within the budget 2 - 2 * cosine has at least one block whose squared
+distance is within that block's share of it, shares going by dimensions.
 So a range join of each block finds every pair: a vector goes to the grid cell of
 its first coordinates in the block, and also, as a probe, to the later
 neighbouring cells that its radius touches. Within a cell, block distances choose
@@ -18,11 +19,13 @@ pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +41,6 @@ class Pigeonhole:
     axes: int = 2
     cell: float = 2.0
     tile: int = 1024
-    seed: int = 3
-
-    def rotation(self, size: int) -> np.ndarray:
-        """A random orthogonal matrix, the same everywhere."""
-        q, r = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((size, size)))
-        return q * np.sign(np.diag(r))
 
     def blocks(self, size: int) -> list[tuple[int, int]]:
         return [(k, min(size, k + self.block)) for k in range(0, size, self.block)]
@@ -57,10 +54,44 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _cells(vectors: np.ndarray, how: Pigeonhole, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def principal(moments: np.ndarray, how: Pigeonhole) -> np.ndarray:
+    """Orthogonal columns from sums of products of coordinates: the principal axes, dealt to the blocks in turn from the widest on."""
+    size = len(moments)
+    _, axes = np.linalg.eigh(moments)
+    axes = axes[:, ::-1]
+    room = [b - a for a, b in how.blocks(size)]
+    order: list[list[int]] = [[] for _ in room]
+    turn = (k for _ in range(how.block) for k in range(len(room)))
+    for axis in range(size):
+        order[next(k for k in turn if len(order[k]) < room[k])].append(axis)
+    return axes[:, [axis for block in order for axis in block]]
+
+
+def rotations(classes: DataFrame, how: Pigeonhole) -> dict[int, np.ndarray]:
+    """The rotation for each vector size, from the products of all unit vectors' coordinates: a size x size matrix for a task and size, summed before it is gathered."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                x = _units(_matrix(batch.column(0).filter(pa.array(sizes == size)), size))
+                sums[size] = sums.get(size, 0) + x.T @ x
+        for size, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size * size, size)), pa.array(np.arange(size * size)), pa.array(m.ravel())], names=["size", "at", "value"])
+
+    summed = classes.select("v").mapInArrow(products, "size long, at long, value double").groupBy("size", "at").agg(F.sum("value").alias("value")).toPandas()
+    return {int(size): principal(own.sort_values("at")["value"].to_numpy().reshape(size, size), how) for size, own in summed.groupby("size")}
+
+
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _cells(vectors: np.ndarray, rotation: np.ndarray, how: Pigeonhole, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, block, cell key, probe) of each vector's home cells and of the later cells it probes. vectors: rows x size, all finite and none zero."""
     size = vectors.shape[1]
-    turned = _units(vectors) @ how.rotation(size)
+    turned = _units(vectors) @ rotation
     rows, blocks, keys, probes = [], [], [], []
     for number, ((a, b), share) in enumerate(zip(how.blocks(size), how.shares(size, least))):
         axes = min(how.axes, b - a)
@@ -86,10 +117,10 @@ def _cells(vectors: np.ndarray, how: Pigeonhole, least: float) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in (rows, blocks, keys, probes))
 
 
-def _tile(left: np.ndarray, right: np.ndarray, same: bool, block: int, how: Pigeonhole, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _tile(left: np.ndarray, right: np.ndarray, same: bool, block: int, turn: np.ndarray, how: Pigeonhole, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of left and right rows that link and count in this block; same: left is right, pairs once."""
     size = left.shape[1]
-    turn, spans, shares = how.rotation(size), how.blocks(size), how.shares(size, least)
+    spans, shares = how.blocks(size), how.shares(size, least)
     x, y = _units(left), _units(right)
     tx, ty = x @ turn, y @ turn
     a, b = spans[block]
@@ -117,14 +148,13 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
     Rows link when labels are equal and not null, sizes are equal, and the cosine
     is least or more. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing. Rows of equal vectors link with each
-    other. n_links counts rows other than itself; rows of one vec_id are separate
-    there but one node of a component. A null vec_id links with nothing and has a
+    other. n_links counts rows other than itself; rows of one vec_id with different
+    vectors have links of their own there but one component. A null vec_id links with nothing and has a
     null component. Other columns are ignored; an empty table gives no rows.
     """
     value = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), value.alias("v"))
-    big = F.lit(1.7e308)
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine, F.lit(False))
     scale = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
     unit = F.transform("v", lambda x: x / scale)
@@ -132,15 +162,16 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
     rows = rows.withColumn("v", F.when(usable & ((scale > 1e100) | (scale < 1e-100)), unit).otherwise(F.col("v")))
     rows = cut(rows)
     classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("c"), F.count(F.lit(1)).alias("weight"))
-    classes = cut(classes.select("h1", "h2", F.col("c.vec_id").alias("node"), F.col("c.label").alias("label"), F.col("c.v").alias("v"), "weight"))
+    classes = cut(classes.select("h1", "h2", F.col("c.vec_id").alias("vec_id"), F.col("c.label").alias("label"), F.col("c.v").alias("v"), "weight"))
+    classes = classes.withColumn("node", F.monotonically_increasing_id())
+    turns = vectors.sparkSession.sparkContext.broadcast(rotations(classes, how))
 
     def place(batches):
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(2)])
-            for size in np.unique(sizes):
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
                 own = batch.filter(pa.array(sizes == size))
-                flat = own.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                row, block, key, probe = _cells(flat, how, least)
+                row, block, key, probe = _cells(_matrix(own.column(2), size), turns.value[size], how, least)
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays([own.column(0).take(taken), own.column(1).take(taken), own.column(2).take(taken), own.column(3).take(taken), pa.array(np.full(len(row), size)), pa.array(block), pa.array(key), pa.array(probe)], names=["node", "label", "v", "weight", "size", "block", "cell", "probe"])
 
@@ -172,7 +203,7 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
         lv, rv = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        i, j = _tile(lv, rv, same, int(pdf["block"].iloc[0]), how, least)
+        i, j = _tile(lv, rv, same, int(pdf["block"].iloc[0]), turns.value[lv.shape[1]], how, least)
         ln, rn = left["node"].to_numpy(), right["node"].to_numpy()
         nodes, place = np.unique(np.concatenate([ln[i], rn[j]]), return_inverse=True)
         p, q = place[: len(i)], place[len(i) :]
@@ -184,12 +215,14 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, how: Pigeonhole = P
     found = cut(tiles.groupBy(*where, "i", "kind", "j").applyInPandas(compare, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
-    named = classes.select("h1", "h2", "node", "weight").join(links, "node", "left")
-    hashed = rows.filter("h1 is not null")
-    several = hashed.groupBy("vec_id").agg(F.min("h1").alias("p"), F.max("h1").alias("q")).filter("p <> q").select("vec_id")
-    shared = hashed.join(several, "vec_id").join(named.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
-    named = named.join(components(edges.union(shared)), "node", "left")
-    named = named.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = classes.select("h1", "h2", "node", "vec_id", "weight").join(links, "node", "left")
+    ids = rows.filter("h1 is not null").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node")
+    several = ids.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("vec_id", "a")
+    shared = ids.join(several, "vec_id").select("a", F.col("node").alias("b")).distinct()
+    found = components(edges.union(shared)).join(named.select("node", "vec_id"), "node")
+    least_id = found.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = named.join(found.join(least_id, "component").select("node", "component_id"), "node", "left")
+    named = named.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     joined = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))

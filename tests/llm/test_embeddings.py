@@ -53,3 +53,28 @@ def test_query_matches_all_pairs(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     got = registry.op1_pigeonhole(spark, "/root/testdata/sf0.001").select("vec_id", "n_links", "component_id").collect()
     assert sorted(map(tuple, got)) == plain(rows, 0.93)
+
+
+def test_rows_of_one_id_have_links_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.05, 0.0]), (7, [0.0, 1.0, 0.05]), (8, [0.0, 1.0, 0.1]), (2, [0.0, 0.0, 1.0])]
+    rows = [(i, v, 1, "x", "y") for i, v in rows]
+    check(spark, rows, 0.93, embeddings.Pigeonhole(block=2))
+    got = embeddings.link_vectors(spark.createDataFrame(rows, VECTORS), how=embeddings.Pigeonhole(block=2)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(2, 0, 2), (5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]
+
+
+def test_very_large_finite_components_count(spark):
+    rows = [(1, [1.75e308, 1e300]), (2, [1.0, 0.0]), (3, [float("inf"), 0.0]), (4, [5e-324, 0.0])]
+    got = embeddings.link_vectors(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]
+
+
+def test_rotation_is_orthogonal_and_deals_wide_axes_first():
+    rng = np.random.default_rng(2)
+    how = embeddings.Pigeonhole(block=4)
+    x = rng.standard_normal((500, 10)) * np.arange(1, 11)
+    turn = embeddings.principal(x.T @ x, how)
+    assert np.allclose(turn.T @ turn, np.eye(10))
+    spread = (x @ turn).var(0)
+    firsts = [a for a, _ in how.blocks(10)]
+    assert sorted(spread)[-len(firsts) :] == sorted(spread[firsts])
