@@ -144,14 +144,6 @@ def test_url_tree_learns_templates(spark):
     assert got["/ads/*"].template == "/ads/*"
 
 
-def test_url_tree_decides_pages_without_rule(spark):
-    rules = [("block", "bad.com", "/a/"), ("block", "bad.com", "/b/"), ("block", "mixed.com", "/a/"), ("allow", "mixed.com", "/b/"), ("allow", "good.com", "/a/")]
-    urls = [f"http://{h}.com/{s}/{i}" for h in ("bad", "mixed", "good") for s in "abc" for i in range(12)] + ["http://bad.com/deep/er/1", "http://none.com/c/1"]
-    got = {u: r for u, r in zip(urls, sorted(url_tree.judge_urls(pages(spark, urls), rules).collect(), key=lambda r: r.page_id))}
-    blocked = {u for u, r in got.items() if r.verdict == "block" and r.rule is None}
-    assert blocked == {f"http://bad.com/c/{i}" for i in range(12)}
-
-
 def test_queries_on_documents_and_pages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     shards = {r.doc_id: r for r in registry.op3_sharding(spark, SF).collect()}
