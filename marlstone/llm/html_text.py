@@ -8,6 +8,12 @@ main element around it. Without such an element, the article may be in several
 containers: the least density on the path to the body is the threshold for all
 nodes from the body down, and the node with the greatest sum in each that reaches
 it is part of the article.
+
+Elements that are menus, forms and the like by their tag, role or hidden state are
+set apart. Class and id names are evidence only: what holds an article element is
+never set apart by them, doubtful names count only where the density is below the
+article's, and where names would leave next to no text, those around the densest
+text are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +41,14 @@ RAW = frozenset("script style title textarea noscript iframe noframes xmp".split
 APART = frozenset("nav footer aside form button select textarea menu dialog search".split())
 #: Parts of class and id names that mark menus, notices, adverts, comments and the like (fixed values).
 APART_NAMES = frozenset(
-    "ad ads adbox adsbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion "
+    "ad ads adbox adsbox adsbygoogle adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted related replies reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Of these, those that also name parts of articles (fixed values).
+DOUBTFUL_NAMES = frozenset("discussion related reply replies respond search".split())
+#: Parts that say of an element what is beside it or not there, so the other parts name something else (fixed values).
+LAYOUT_NAMES = frozenset("has no with without hide show layout".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Start tags that end an open element of the second set, unless one of the third is open within (HTML's optional end tags; fixed values).
 CLOSES = (
@@ -55,35 +65,47 @@ for _starts, _ends, _within in CLOSES:
         _ENDED_BY.setdefault(_tag, []).append((_ends, _within))
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/](?:[^>]*>|[^>]*\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
-NAME_PARTS = re.compile(r"[^a-z]+")
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: The least share of the page's text outside links that names may leave.
+LEAST_LEFT = 0.1
+SURE, DOUBTFUL = 2, 1
 
 
-def _set_apart(tag: str, attributes: str) -> bool:
-    if tag in APART:
-        return True
+def _evidence(tag: str, attributes: str) -> tuple[bool, int]:
+    """(set apart by tag, role or hidden state; SURE, DOUBTFUL or 0 by class and id names)."""
+    apart, named = tag in APART, 0
     if not attributes:
-        return False
+        return apart, named
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") and not APART_NAMES.isdisjoint(NAME_PARTS.split(value)):
-                return True
-        elif name == "role" and value in APART_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            if tag not in ("body", "html", "article", "main"):
+                for word in value.split():
+                    parts = {x.lower() for x in NAME_PARTS.findall(word)}
+                    if LAYOUT_NAMES.isdisjoint(parts):
+                        named = max(named, SURE if parts & APART_NAMES - DOUBTFUL_NAMES else DOUBTFUL if parts & DOUBTFUL_NAMES else 0)
+        elif name == "role":
+            apart |= value.lower() in APART_ROLES
+        elif name == "style":
+            apart |= UNSEEN_STYLE.search(value) is not None
+        else:
+            apart |= name == "hidden" or value.lower() == "true"
+    return apart, named
 
 
 class Page:
-    """The blocks of a page in page order; node 0 is the document."""
+    """The blocks of a page in page order, and inline elements that may be set apart; node 0 is the document."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.apart, self.last = ["#document"], [-1], [False], [0]
+        self.tag, self.parent, self.apart, self.named, self.last = ["#document"], [-1], [False], [0], [0]
         self.chars, self.tags, self.link_chars, self.link_tags, self.direct = [0], [0], [0], [0], [0]
         #: (node, number of the block run, text)
         self.pieces: list[tuple[int, int, str]] = []
         self._parse(source)
+        self._judge_names()
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int, int]] = []  # tag, node it belongs to, node of its parent
@@ -100,10 +122,10 @@ class Page:
                     links -= 1
                 if tag in HIDDEN:
                     hidden -= 1
-                if tag in BLOCKS:
+                if own != before:
                     self.last[own] = len(self.tag)
                     node = before
-                    run += 1
+                    run += tag in BLOCKS
 
         while at < size:
             found = TOKEN.search(source, at)
@@ -153,14 +175,13 @@ class Page:
             if closed:
                 continue
             before = node
-            if tag in BLOCKS:
+            apart, named = _evidence(tag, found[3])
+            if tag in BLOCKS or apart or named:
                 node = len(self.tag)
                 self.tag.append(tag)
                 self.parent.append(before)
-                apart = self.apart[before] or _set_apart(tag, found[3])
-                if tag == "header" and not any(t in ("article", "main") for t, *_ in stack):
-                    apart = True
-                self.apart.append(apart)
+                self.apart.append(self.apart[before] or apart or tag == "header")
+                self.named.append(named)
                 self.last.append(node + 1)
                 for numbers in (self.chars, self.tags, self.link_chars, self.link_tags, self.direct):
                     numbers.append(0)
@@ -181,6 +202,37 @@ class Page:
             for numbers in (self.chars, self.tags, self.link_chars, self.link_tags):
                 numbers[up] += numbers[k]
 
+    def _judge_names(self) -> None:
+        """Sets apart what names say, as far as the text agrees."""
+        if not any(self.named):
+            return
+        holds = [t in ("article", "main") for t in self.tag]
+        for k in range(len(self.tag) - 1, 0, -1):
+            holds[self.parent[k]] |= holds[k]
+        density = self.densities()
+        best = self.article()
+        bar = density[best]
+        sure = [k for k, n in enumerate(self.named) if n and not holds[k] and (n == SURE or density[k] < bar)]
+        before = list(self.apart)
+        whole = self._left([], before)
+        if self._left(sure, before) < LEAST_LEFT * whole:
+            around = set(self._path(best))
+            self._left([k for k in sure if k not in around], before)
+
+    def _left(self, more: list[int], before: list[bool]) -> int:
+        """Sets apart what was so before, and the nodes in more; returns the characters outside links that are left."""
+        apart, left = list(before), 0
+        for k in more:
+            apart[k] = True
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars)]
+        for k in range(1, len(apart)):
+            up = self.parent[k]
+            if apart[k] and not apart[up]:
+                left -= plain[k]
+            apart[k] |= apart[up]
+        self.apart = apart
+        return plain[0] + left
+
     def _text(self, node: int, run: int, links: int, text: str) -> None:
         if "&" in text:
             text = html.unescape(text)

@@ -60,6 +60,32 @@ def test_article_in_several_containers():
             assert html_text.extract(source) == "\n".join(t for part in texts for t in part), source
 
 
+LONG, OTHER = "The river rose by night and the lower fields were under water by the time the bells rang", "Nobody had seen so much rain since the year in which the old bridge was carried away"
+
+
+def test_names_are_evidence_only():
+    """Hand-written pages: what is kept, and what goes, of them."""
+    two = f"<p>{LONG}</p><p>{OTHER}</p>"
+    want = f"{LONG}\n{OTHER}"
+    notes = "".join(f"<div><p>{w} I was there too and saw it all</p></div>" for w in ("Yes", "No", "Maybe"))
+    whole = [
+        f'<div class="article-with-sidebar">{two}</div>', f'<div class="layout has-sidebar">{two}</div>', f'<div class="no-sidebar">{two}</div>', f'<div id="search-results-page">{two}</div>',
+        f'<div class="widget"><article>{two}</article></div>', f'<div class="banner"><main>{two}</main></div>', f'<section id="discussion">{two}</section>', f'<div class="story"><div class="related-work">{two}</div></div>',
+        f'<div class="zq-body">{two}</div><div class="userComments">{notes}</div>', f'<div class="zq">{two}</div><section id="commentList">{notes}</section>', f'<div>{two}</div><div class="comments-area">{notes}</div>',
+        f'<article>{two}<section class="reader_comments">{notes}</section></article>', f'<article>{two}<div class="AdSlot"><p>Buy two and pay for three of them today</p></div></article>', f'<article>{two}<ins class="adsbygoogle">Buy now</ins></article>',
+        f'<article><p>{LONG}<span class="ad">Buy now</span></p><p>{OTHER}</p></article>', f'<article><p>{LONG}<span hidden>secret</span></p><p>{OTHER}</p></article>', f'<article><p>{LONG}<b style="color:red; display: none">secret</b></p><p>{OTHER}</p></article>',
+        f'<article>{two}<div style="visibility:hidden"><p>Unseen words that no reader gets to see</p></div></article>', f'<article><header>By A. Writer</header>{two}</article>', f'<article>{two}<footer>Printed on paper</footer></article>',
+        f'<div class="pageHeader">The Daily River</div><div class="q">{two}</div><div class="pageFooter">All rights reserved by the river</div>', f'<div class="cookieConsent"><p>We use cookies and you agree to all of them</p></div><div class="q">{two}</div>',
+        f'<div class="q">{two}<p class="newsletter-signup">Get our letters every day of the week</p></div>', f'<div class="q">{two}<aside>Beside the point</aside></div>', f'<div class="q">{two}<div role="complementary"><p>Beside the point</p></div></div>',
+        f'<body class="has-comments sidebar">{two}</body>', f'<article class="comments-open">{two}</article>', f'<div id="main-nav"><a href=/>Home</a> <a href=/n>News</a></div><div class="x1">{two}</div>',
+        f'<div class="q">{two}<form><input><p>Your name please and then your message</p></form></div>', f'<div class="q" data-class="ad" data-style="display:none">{two}</div>', f'<div class="q">{two}</div><div class="sharing-tools"><a href=/f>Share</a></div>',
+        f'<table><tr><td class="leftMenu"><a href=/a>One</a><a href=/b>Two</a></td><td>{two}</td></tr></table>',
+    ]
+    for source in whole:
+        assert html_text.extract(source) == want, source
+    assert html_text.extract(f"<article><p>{LONG} <span class=ad>never closed <b>x</b></p><p>{OTHER}</p></article>") == want
+
+
 def test_odd_pages():
     cases = {
         None: "", "": "", "   ": "", "plain  text\n here": "plain text here", "<p>a<p>b": "a\nb", "<p>cut <b>off</b> and a ta<i": "cut off and a ta",
