@@ -125,13 +125,30 @@ def _statistic(name: str) -> Column:
 
 
 def binomial_below(k: int, n: int, p: float) -> float:
-    """P(at most k of n) at rate p."""
-    if n == 0:
+    """P(at most k of n) at rate p: the incomplete beta function of 1 - p at (n - k, k + 1), by its continued fraction."""
+    if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in i]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    return _incomplete_beta(n - k, k + 1.0, 1 - p)
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised, by Lentz's evaluation of its continued fraction, which takes some sqrt(max(a, b)) terms at most."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(b, a, 1 - x)
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d or tiny), 1 + term / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10_000 + 10 * math.sqrt(a + b):
+            break
+    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return min(1.0, math.exp(front) * value / a)
 
 
 def upper_bound(k: int, n: int, level: float) -> float:

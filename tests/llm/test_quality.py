@@ -1,7 +1,10 @@
 """Word hashing and quality rules against plain Python."""
 
+import math
 import random
 import re
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,8 @@ def plain(text):
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    times = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(3)}
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
 
 
@@ -45,6 +49,12 @@ def test_word_hashes_tell_words_apart():
 
 def test_exact_bounds():
     assert abs(quality.binomial_below(2, 10, 0.3) - sum([0.7**10, 10 * 0.3 * 0.7**9, 45 * 0.09 * 0.7**8])) < 1e-12
+    exact = lambda k, n, p: float(sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+    for n in (1, 2, 7, 30, 99, 400):
+        for k in {0, 1, n // 20, n // 10, n // 2, n - 1, n}:
+            for p in (0.001, 0.01, 0.05, 0.3, 0.9):
+                assert abs(quality.binomial_below(k, n, p) - exact(k, n, p)) <= 1e-11 * max(exact(k, n, p), 1e-3)
+    assert quality.binomial_below(49_000_000, 10**9, 0.05) < 1e-300 and abs(quality.binomial_below(50_000_000, 10**9, 0.05) - 0.50004) < 1e-4
     assert abs(quality.upper_bound(0, 50, 0.05) - (1 - 0.05 ** (1 / 50))) < 1e-9
     good, bad = np.array([2000, 300, 1, 0]), np.array([5, 1, 20, 60])
     assert quality.choose(good, bad, 0.01, 0.01) == 2
@@ -110,3 +120,63 @@ def test_report_matches_plain_on_documents(spark):
         assert {f: r[f] for f in quality.FEATURES} == want
         assert r.base_failed == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
         assert not (r.kept and r.base_failed)
+
+
+def plain_kept(docs, labels, max_false=0.05, level=0.05):
+    """{doc_id: kept} from (doc_id, text, lang) and {doc_id: quality}, stratum by stratum and cutoff by cutoff."""
+    below = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    found = {d: plain(t) for d, t, _ in docs}
+    ratio = lambda a, b: a / b if b else -math.inf
+    values = lambda f: [ratio(f["n_symbols"], f["n_words"]), ratio(f["n_dup_lines"], f["n_lines"]), ratio(f["n_repeat_words"], f["n_words"]), ratio(f["word_chars"], f["n_words"]), ratio(-f["word_chars"], f["n_words"])]
+    failed = {d: f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for d, f in found.items()}
+    grids = [grid for _, grid in quality.RULES.values()]
+    strata = defaultdict(list)
+    for d, _, lang in docs:
+        if d in labels and not failed[d]:
+            strata[lang].append((values(found[d]), labels[d] > 0))
+    cutoffs = {}
+    for lang, rows in strata.items():
+        good, bad = [v for v, ok in rows if ok], [v for v, ok in rows if not ok]
+        own = level / (2 * len(strata))
+
+        def passes(lost, rate, at):
+            return lost < len(good) and below(lost, len(good), rate) <= at
+
+        def best(rule, most):
+            net = [0] + [sum(v[rule] > c for v in bad) - sum(v[rule] > c for v in good) for c in grids[rule][:most]]
+            return net.index(max(net)), max(net)
+
+        step = 0
+        while step < quality.STEPS:
+            cuts = [g[-(-(step + 1) * len(g) // quality.STEPS) - 1] for g in grids]
+            if not passes(sum(any(x > c for x, c in zip(v, cuts)) for v in good), max_false, own):
+                break
+            step += 1
+        together = [best(r, -(-step * len(g) // quality.STEPS)) for r, g in enumerate(grids)]
+        apart = []
+        for r, grid in enumerate(grids):
+            k = 0
+            while k < len(grid) and passes(sum(v[r] > grid[k] for v in good), max_false / 5, own / 5):
+                k += 1
+            apart.append(best(r, k))
+        taken = apart if sum(n for _, n in apart) > sum(n for _, n in together) else together
+        cutoffs[lang] = [g[k - 1] if k else math.inf for (k, _), g in zip(taken, grids)]
+    return {d: not failed[d] and not any(x > c for x, c in zip(values(found[d]), cutoffs.get(lang, [math.inf] * 5))) for d, _, lang in docs}
+
+
+def test_verdicts_match_plain_cutoffs(spark):
+    from marlstone.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    got = registry.op4_quality_rules(spark, sf).collect()
+    want = plain_kept(docs, labels)
+    assert {r.doc_id: r.kept for r in got} == want
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
+def test_very_long_texts():
+    text = "one two three four " * 400_000
+    got = quality.measure(pa.array([text, None, "x" * 3_000_000]))
+    assert got["n_words"].tolist() == [1_600_000, 0, 1] and got["n_repeat_words"].tolist() == [1_600_000, 0, 0] and got["word_chars"][2] == 3_000_000
