@@ -125,24 +125,37 @@ def with_maybe(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def tiled(rows: DataFrame, where: list[str], side_rows: int, weight: str | None = None, side_weight: int = 0) -> DataFrame:
-    """rows (with node long) repeated into tiles, in which all pairs of rows of one group (equal where) meet exactly once.
-
-    A group is dealt into chunks by a hash of node, so many that a chunk holds
-    about side_rows rows, and about side_weight of the column weight, at most.
-    Tile (i, j), i <= j, gets chunk i as side 0 and chunk j as side 1; tile (i, i)
-    gets its chunk once, as side 0.
+    """rows (with node long, main boolean) repeated into tiles, in which all pairs of rows of one group (equal where) meet exactly once, but for pairs of two main rows.
+
+    A group of more than side_rows rows, or side_weight of the column weight, is
+    dealt by a hash of node into chunks of about that: main rows and others apart.
+    Tile (i, j), 0 <= i <= j, gets others' chunk i as side 0 and chunk j as side 1;
+    tile (i, i) gets its chunk once, as side 0. Tile (-1 - i, j) gets the main
+    rows' chunk i as side 0 and the others' chunk j as side 1. So where few rows
+    are not main, rows grow with the group. A smaller group is tile (0, 0).
     """
-    size = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
-    chunks = F.ceil(F.col("_n") / side_rows)
+    counts = [F.count_if("main").alias("_n1"), F.count_if(~F.col("main")).alias("_n0")]
+    if weight:
+        counts += [F.coalesce(F.sum(F.when(F.col("main") == bool(k), F.col(weight))), F.lit(0)).alias(f"_w{k}") for k in (0, 1)]
+
+    def chunks(k: int) -> Column:
+        n = F.ceil(F.col(f"_n{k}") / side_rows)
+        return (F.greatest(n, F.ceil(F.col(f"_w{k}") / side_weight)) if weight else n).cast("int").alias(f"_c{k}")
+
+    above = F.col("_n0") + F.col("_n1") > side_rows
     if weight:
-        chunks = F.greatest(chunks, F.ceil(F.col("_w") / side_weight))
+        above |= F.col("_w0") + F.col("_w1") > side_weight
     # few groups are above a chunk, so few rows need to know of them
-    large = rows.groupBy(*where).agg(*size).select(*where, chunks.cast("int").alias("_c")).filter("_c > 1")
-    spread = rows.join(if_small(cut(large)), where, "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
-    spread = spread.withColumn("_k", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("_c")).cast("int"))
-    numbers = F.sequence(F.lit(0), F.col("_c") - 1)
-    tile = F.transform(numbers, lambda o: F.struct(F.least(o, F.col("_k")).alias("i"), F.greatest(o, F.col("_k")).alias("j"), (o < F.col("_k")).cast("int").alias("side")))
-    spread = spread.withColumn("_t", F.explode(tile))
+    large = rows.groupBy(*where).agg(*counts).filter(above).select(*where, chunks(0), chunks(1))
+    spread = rows.join(if_small(cut(large)), where, "left")
+    own = F.when(F.col("main"), F.col("_c1")).otherwise(F.col("_c0"))
+    spread = spread.withColumn("_k", F.pmod(F.xxhash64(F.lit(4), "node"), own).cast("int"))
+    numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    tile = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    k, zero = F.col("_k"), F.lit(0)
+    met = F.concat(F.transform(numbers("_c0"), lambda o: tile(F.least(o, k), F.greatest(o, k), o < k)), F.transform(numbers("_c1"), lambda o: tile(-1 - o, k, F.lit(1))))
+    tiles = F.when(own.isNull(), F.array(tile(zero, zero, zero))).when(F.col("main"), F.transform(numbers("_c0"), lambda o: tile(-1 - k, o, zero))).otherwise(met)
+    spread = spread.withColumn("_t", F.explode(tiles))
     return spread.select(*rows.columns, F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.side").alias("side"))
 
 

@@ -8,12 +8,15 @@ compare, given both set sizes, decides which pairs can reach the threshold; full
 shingle sets confirm.
 
 Documents of equal shingle sets are one class from the start. Every other class
-is first compared with the best of the least members of its buckets. Buckets that
-then still hold two components or more are searched in tiles: registers join what
-may be linked across components into groups, and full sets are counted against
-each other within the groups. Tiles are bounded, and return a row for each member
-instead of each pair, so groups of near copies cost no pairs of rows, and no link
-between different components is passed over.
+is first compared with the best of the least members of its buckets. Where a bucket
+then still holds two components or more, those outside its largest are compared
+with the least member of that, once for each bucket. Buckets that are mixed even
+then are searched in tiles: registers join what may be linked across components
+into groups, and full sets are counted against each other within the groups. The
+members of a bucket's largest component meet its other members only, not each
+other, so a group of near copies, of which the rounds before leave few apart, costs
+rows in proportion. Tiles are bounded, and return a row for each member instead of
+each pair; no link between different components is passed over.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, compact, cut, packed, roots, small_batches, tiled, with_maybe
+from .common import Scratch, by_group, compact, cut, if_small, packed, roots, small_batches, tiled, with_maybe
 from .components import components
 from .words import U64, Words, chunks, mix
 
@@ -229,13 +232,13 @@ SIDE_ROWS, SIDE_SHINGLES = 2048, 1_000_000
 
 
 def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshold: float) -> DataFrame:
-    """From rows (key, node, component): edges (node, root) that join, bucket by bucket, what registers let reach the threshold across components.
+    """From rows (key, node, component, main): edges (node, root) that join, bucket by bucket, what registers let reach the threshold across components.
 
     Within a tile, a row is compared with one row of each other group so far, and
     only if that fails with the rest of it; what has no likely partner across
     components is left out.
     """
-    tiles = tiled(rows.select("key", "node", "component"), ["key"], SIDE_ROWS).join(classes.select("node", "n_shingles", "registers"), "node")
+    tiles = tiled(rows.select("key", "node", "component", "main"), ["key"], SIDE_ROWS).join(classes.select("node", "n_shingles", "registers"), "node")
 
     def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
         col = {name: tile.column(k) for k, name in enumerate(tile.schema.names)}
@@ -247,6 +250,8 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
         start = label.copy()
         left = np.flatnonzero(number("side") == 0)
         right = left if same else np.flatnonzero(number("side") == 1)
+        if len(right) < len(left):
+            left, right = right, left
 
         def passes(r: int, others: np.ndarray) -> np.ndarray:
             others = others[np.minimum(n[r], n[others]) >= threshold * np.maximum(n[r], n[others]) - 1e-9]
@@ -281,10 +286,11 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
 
 
 def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """From (node, coarse): edges (a, b) that span all exact links between nodes of a group, from tiles in which full sets are counted against each other."""
+    """From (node, coarse, component): edges (a, b) that span all exact links between nodes of a group but of different components, from tiles in which full sets are counted against each other."""
     sets = _sets_of(documents, groups.select("node"), n)
     sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("weight"))
-    rows = groups.join(sizes, "node").select("coarse", "node", "weight")
+    groups = _with_main(groups, "coarse")
+    rows = groups.join(sizes, "node").select("coarse", "node", "weight", "main")
     tiles = tiled(rows, ["coarse"], SIDE_ROWS, "weight", SIDE_SHINGLES).drop("weight").join(sets.select("node", "hashes", F.size("hashes").cast("long").alias("n")), "node")
 
     def compare(tile: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -319,6 +325,15 @@ def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFram
     return by_group(tiles, ["coarse", "i", "j"], compare, "a long, b long")
 
 
+def _with_main(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, node, component) of the keys that hold several components, with main: whether the component is the key's largest, and low, the least node of that."""
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
+    largest = sizes.groupBy(key).agg(F.max(F.struct("n", -F.col("component"), "low")).alias("m"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # written first, so that a join reads two plain shuffles, of which a hot key's can be split
+    largest = compact(largest.select(key, (-F.col("m")["col2"]).alias("_largest"), F.col("m")["low"].alias("low")))
+    return rows.join(if_small(largest), key).withColumn("main", F.col("component") == F.col("_largest")).drop("_largest")
+
+
 def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
     """One row per row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -344,24 +359,30 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80, sket
         votes = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).union(members.filter("node <> low").select("node", "low"))
         votes = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b"))
-        tried = compact(_likely(compact(best), classes, sketch, threshold))
+        best = compact(best)
+        tried = compact(_likely(best, classes, sketch, threshold))
         several = linked.groupBy("doc_id").agg(F.min("f1").alias("p"), F.max("f1").alias("q")).filter("p <> q").select("doc_id")
         own = linked.join(several, "doc_id").join(classes.drop("registers"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
         found = components(_confirmed(tried, documents, n, percent).union(own))
+        labelled = lambda: members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+        # second round: what is outside the largest component of a bucket, and the least member of that
+        again = _with_main(labelled(), "key").filter("not main").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+        again = compact(again.join(best, ["a", "b"], "left_anti"))
+        if not again.isEmpty():
+            more = _confirmed(compact(_likely(again, classes, sketch, threshold)), documents, n, percent)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-        # second round: buckets that still hold two components or more
-        labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
-        # written first, so that the join reads two plain shuffles, of which a hot bucket's can be split
-        mixed = compact(mixed)
-        near = _likely_groups(compact(labelled.join(mixed, "key")), classes, sketch, threshold)
+        # third round: buckets that still hold two components or more
+        near = _likely_groups(compact(_with_main(labelled(), "key").drop("low")), classes, sketch, threshold)
         label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         pairs = buckets.filter("held = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
         pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         pairs = _likely(compact(pairs.join(tried, ["a", "b"], "left_anti")), classes, sketch, threshold)
         near = near.union(pairs).toDF("node", "root")
         groups = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        more = _linked_in_groups(groups.select("node", F.col("component").alias("coarse")), classes, documents, n, percent)
+        groups = groups.select("node", F.col("component").alias("coarse")).join(found, "node", "left").select("node", "coarse", F.coalesce("component", "node").alias("component"))
+        more = _linked_in_groups(groups, classes, documents, n, percent)
         final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.select("n_shingles", "f1", "f2", "node").join(final, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component"))

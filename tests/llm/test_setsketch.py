@@ -118,8 +118,8 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_tiles_hold_every_pair_once(spark):
-    rows = [(g, g * 1000 + k, k % 7) for g, n in ((1, 1), (2, 5), (3, 60)) for k in range(n)]
-    frame = spark.createDataFrame(rows, "g long, node long, w long")
+    rows = [(g, g * 1000 + k, k % 7, g > 2 and k % 5 < main) for g, n, main in ((1, 1, 0), (2, 5, 0), (3, 60, 0), (4, 60, 3), (5, 50, 5)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "g long, node long, w long, main boolean")
     for options in ((8,), (100, "w", 20)):
         tiles = {}
         for r in common.tiled(frame, ["g"], *options).collect():
@@ -128,8 +128,17 @@ def test_tiles_hold_every_pair_once(spark):
         for (_, i, j), (left, right) in tiles.items():
             pairs += [tuple(sorted((a, b))) for x, a in enumerate(left) for b in (left[:x] if i == j else right)]
             assert max(len(left), len(right)) <= 30
+            if i < 0:
+                assert left and right
         want = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
-        assert sorted(pairs) == sorted(want)
+        both = {(a[1], b[1]) for a in rows for b in rows if a[3] and b[3]}
+        assert sorted(p for p in pairs if p not in both) == sorted(p for p in want if p not in both) and len(set(pairs)) == len(pairs)
+
+
+def test_rows_of_a_large_component_grow_in_proportion(spark):
+    rows = [(1, k, k >= 10) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "g long, node long, main boolean")
+    assert common.tiled(frame, ["g"], 100).count() <= 5000 + 10 * 52
 
 
 def test_small_tiles_give_the_same_components(spark, monkeypatch):
