@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 POPULAR = 10_000
 
 
+# Labels and bounds of buckets and units below are fixed values.
+
+
 def rating_bucket(rating: Column) -> Column:
     """"7-8" for 7 up to 8; "10" from 10 on."""
     low = F.when(rating >= 0, F.floor(rating)).otherwise(F.ceil(rating)).cast("bigint")
@@ -26,10 +29,12 @@ def rating_metadata(rating: Column, votes: Column, source: str = "title.ratings"
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in binary units with one decimal; whole bytes without."""
-    out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(F.abs(n) >= 1024**power, F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
+    """Bytes in binary units up to PiB, with one decimal and marks between thousands."""
+    units = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+    out = F.lit(None).cast("string")
+    for power in reversed(range(len(units))):
+        shown = F.concat(F.format_string("%,.1f", n / F.lit(float(1024**power))), F.lit(f" {units[power]}"))
+        out = shown if power == len(units) - 1 else F.when(F.abs(n) < 1024 ** (power + 1), shown).otherwise(out)
     return out
 
 

@@ -16,7 +16,7 @@ def single_messages(rows: DataFrame, table: str, columns: list[str]) -> DataFram
 
 
 def batch_messages(rows: DataFrame, table: str, columns: list[str], order: list[str], size: int = 1000) -> DataFrame:
-    """batch, n_rows, payload: rows dealt into messages of at most size, in the order given.
+    """position long, n_rows, payload: rows dealt into messages of at most size, in the order given; position ascends with it.
 
     Rows are sorted by range, so batches are made in parallel: each range numbers
     its own rows and its batches start anew, and no row waits for another range.
@@ -26,7 +26,8 @@ def batch_messages(rows: DataFrame, table: str, columns: list[str], order: list[
     dealt = spread.withColumns({"_n": number, "_batch": F.floor(number / size)})
     grouped = dealt.groupBy("_part", "_batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sort_array(F.collect_list(F.struct("_n", F.struct(*columns).alias("row")))).alias("_rows"))
     payload = F.to_json(F.struct(F.lit(table).alias("table"), F.transform("_rows", lambda r: r.row).alias("rows")))
-    return grouped.select(F.concat_ws("-", "_part", "_batch").alias("batch"), "n_rows", payload.alias("payload"))
+    position = F.col("_part").cast("long") * F.lit(1 << 32) + F.col("_batch")
+    return grouped.select(position.alias("position"), "n_rows", payload.alias("payload"))
 
 
 def opened(messages: DataFrame, payload: str = "payload") -> DataFrame:

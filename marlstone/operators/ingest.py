@@ -15,11 +15,16 @@ def first_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
 
 
 def insert_new(rows: DataFrame, target: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows to append: the first of each key that target does not hold. A key with a null never conflicts."""
+    """Rows to append: the first of each key that target does not hold. A key with a null never conflicts.
+
+    The target is asked only for the new keys, so where these are few it is not shuffled.
+    """
     whole = F.lit(True)
     for k in key:
         whole &= F.col(k).isNotNull()
-    fresh = first_by_key(rows.filter(whole), key, order).join(target.select(*key), key, "left_anti")
+    fresh = first_by_key(rows.filter(whole), key, order)
+    held = target.select(*key).join(fresh.select(*key), key, "left_semi")
+    fresh = fresh.join(held, key, "left_anti")
     return fresh.select(*rows.columns).unionByName(rows.filter(~whole))
 
 

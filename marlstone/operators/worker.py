@@ -6,10 +6,11 @@ comes again, and the insert skips what the table already holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +35,24 @@ class Progress:
     completed: bool = False
 
 
+PROGRESS = T.StructType([
+    T.StructField("table_name", T.StringType()), T.StructField("source_file", T.StringType()), T.StructField("source_bytes", T.LongType()),
+    T.StructField("lines_read", T.LongType()), T.StructField("messages", T.LongType()), T.StructField("completed", T.BooleanType()),
+])
+
+
 def file_bytes(spark: SparkSession, path: str) -> int:
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
+def last_progress(store: queue.StoredQueue, name: str) -> Progress | None:
+    """What produce() stored with the last messages of a table."""
+    row = store.stored("progress", "table_name", PROGRESS).filter(F.col("table_name") == name).first()
+    return Progress(**row.asDict()) if row else None
+
+
 def resume_point(spark: SparkSession, name: str, path: str, last: Progress | None) -> Progress:
     """Where to go on. A file whose size is not what it was is an error: its lines cannot be told from those read."""
     size = file_bytes(spark, path)
@@ -50,20 +63,38 @@ def resume_point(spark: SparkSession, name: str, path: str, last: Progress | Non
     return last
 
 
-def produce(spark: SparkSession, store: queue.StoredQueue, queue_name: str, name: str, path: str, now: datetime, last: Progress | None = None, size: int = 1000) -> Progress:
-    """Enqueues what of a file was not yet read, as messages of at most size rows, and returns the progress to keep."""
-    start = resume_point(spark, name, path, last)
-    if start.completed:
-        return start
+def produce(
+    spark: SparkSession, store: queue.StoredQueue, queue_name: str, name: str, path: str, now: datetime, last: Progress | None = None, size: int = 1000, *,
+    step_lines: int | None = None, high: int = 2000, low: int = 500, wait: Callable[[], None] | None = None,
+) -> Progress:
+    """Enqueues what of a file was not yet read, as messages of at most size rows, and returns the progress.
+
+    Progress is stored in the commit that holds the messages, so a restart neither
+    repeats nor skips any; last is what is stored, unless it is given. step_lines
+    bounds the lines of a commit; without it a file is one. From high pending
+    messages on it stops before the next commit: without wait it returns, to be
+    called again; else it calls wait until low or fewer are left.
+    """
+    at = resume_point(spark, name, path, last or last_progress(store, name))
     dataset = DATASETS[name]
-    rows = accepted(read_dataset(spark, path, name, start.lines_read), dataset)
-    messages = envelope.batch_messages(rows, name, rows.columns, list(dataset.key), size).select(F.col("batch").alias("position"), "payload")
-    table = store.table()
-    next_id = (table.agg(F.max("id")).first()[0] or 0) + 1
-    number = messages.count()
-    store.apply(lambda t: (queue.enqueue_frame(t, queue_name, messages, now, next_id), number))
-    lines = spark.read.text(path).count() - 1
-    return Progress(name, path, start.source_bytes, lines, start.messages + number, True)
+    total = None
+    held = False
+    while not at.completed:
+        while held := queue.paused(queue.queue_stats(store.table(), queue_name).first().pending, held, high, low):
+            if wait is None:
+                return at
+            wait()
+        total = spark.read.text(path).count() - 1 if total is None else total
+        upto = total if step_lines is None else min(total, at.lines_read + step_lines)
+        rows = accepted(read_dataset(spark, path, name, at.lines_read, upto), dataset)
+        messages = envelope.batch_messages(rows, name, rows.columns, list(dataset.key), size).select("position", "payload")
+        next_id = (store.table().agg(F.max("id")).first()[0] or 0) + 1
+        numbered = queue.enqueue_frame.changes(store.table(), queue_name, messages, now, next_id)[1].persist()
+        at = Progress(name, path, at.source_bytes, upto, at.messages + numbered.count(), upto >= total)
+        progress = spark.createDataFrame([(at.table_name, at.source_file, at.source_bytes, at.lines_read, at.messages, at.completed)], PROGRESS)
+        store.add(numbered, {"progress": progress})
+        numbered.unpersist()
+    return at
 
 
 def _typed(v: Column, kind: str, type_: T.DataType) -> tuple[Column, Column]:
@@ -104,37 +135,43 @@ def consume_once(spark: SparkSession, store: queue.StoredQueue, queue_name: str,
 
     tables maps a table's name to its Parquet folder. Malformed messages and those
     for unknown tables are nacked. Bad rows go to dead (Parquet) and the good rows
-    of their message are kept; a message without a good row is nacked.
+    of their message are kept; a message without a good row is nacked. A table is
+    asked only for the keys between the least and the greatest new one.
     """
-    taken = [r.msg_id for r in store.apply(queue.dequeue, queue_name, now, batch, visibility)]
+    taken = {r.msg_id: r.payload for r in store.apply(queue.dequeue, queue_name, now, batch, visibility)}
     if not taken:
         return []
-    messages = envelope.opened(store.table().filter(F.col("id").isin(taken)).select("id", "payload"))
+    messages = envelope.opened(spark.createDataFrame(list(taken.items()), "id long, payload string"))
     known = F.col("table").isin(*tables)
-    faulty = messages.filter(F.col("malformed") | ~F.coalesce(known, F.lit(False))).select("id")
-    each = messages.filter(~F.col("malformed") & known).select("id", "table", F.posexplode("rows").alias("pos", "row"))
-    report, failed = [], {r.id for r in faulty.collect()}
+    messages = messages.withColumn("faulty", F.col("malformed") | ~F.coalesce(known, F.lit(False))).persist()
+    each = messages.filter("not faulty").select("id", "table", F.posexplode("rows").alias("pos", "row"))
+    report, failed = [], {r.id for r in messages.filter("faulty").select("id").collect()}
     for name, folder in tables.items():
         dataset = DATASETS[name]
-        rows = typed_rows(each.filter(F.col("table") == name), dataset)
+        rows = typed_rows(each.filter(F.col("table") == name), dataset).persist()
         good, bad = ingest.split_valid(rows, F.col("sqlstate").isNotNull())
-        per = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("sqlstate").alias("bad")).collect()
-        if not per:
-            continue
-        failed |= {r.id for r in per if r.n == r.bad}
-        columns = dataset.schema.fieldNames()
-        held = _held(spark, folder, dataset.schema)
-        new = ingest.insert_new(good.select("id", "pos", *columns), held, list(dataset.key), ["id", "pos"]).select(*columns)
-        before = held.count()
-        new.write.mode("append").parquet(folder)
-        inserted, lost = _held(spark, folder, dataset.schema).count() - before, sum(r.bad for r in per)
-        if lost:
-            letters = bad.select(F.lit(name).alias("table_name"), F.col("row").alias("payload"), "sqlstate", "error", F.lit(now).cast("timestamp").alias("failed_at"))
-            letters.write.mode("append").parquet(dead)
-        report.append({"table_name": name, "inserted": inserted, "skipped": sum(r.n for r in per) - inserted - lost, "bad": lost})
+        lead = dataset.key[0]
+        fine = F.when(F.col("sqlstate").isNull(), F.col(lead))
+        per = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("sqlstate").alias("bad"), F.min(fine).alias("least"), F.max(fine).alias("most")).collect()
+        if per:
+            failed |= {r.id for r in per if r.n == r.bad}
+            columns = dataset.schema.fieldNames()
+            ends = [r for r in per if r.least is not None]
+            held = _held(spark, folder, dataset.schema)
+            held = held.filter(F.col(lead).between(min(r.least for r in ends), max(r.most for r in ends))) if ends else held.limit(0)
+            seen = Observation()
+            new = ingest.insert_new(good.select("id", "pos", *columns), held, list(dataset.key), ["id", "pos"]).select(*columns)
+            new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(folder)
+            inserted, lost = seen.get["n"], sum(r.bad for r in per)
+            if lost:
+                letters = bad.select(F.lit(name).alias("table_name"), F.col("row").alias("payload"), "sqlstate", "error", F.lit(now).cast("timestamp").alias("failed_at"))
+                letters.write.mode("append").parquet(dead)
+            report.append({"table_name": name, "inserted": inserted, "skipped": sum(r.n for r in per) - inserted - lost, "bad": lost})
+        rows.unpersist()
+    messages.unpersist()
     ids = lambda values: spark.createDataFrame([(v,) for v in values], "id long")
-    done = [i for i in taken if i not in failed]
-    store.apply(queue.ack, ids(done), now)
+    if done := [i for i in taken if i not in failed]:
+        store.apply(queue.ack, ids(done), now)
     if failed:
         store.apply(queue.nack, ids(sorted(failed)), now, "no row could be loaded", max_attempts)
     return report
@@ -150,8 +187,9 @@ def _held(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
 
 
 def drain(spark: SparkSession, store: queue.StoredQueue, queue_name: str, tables: dict[str, str], dead: str, now: datetime, **options) -> list[dict]:
-    """consume_once until nothing is pending."""
+    """consume_once until nothing is pending. Leases that have run out, as of a worker that died, are taken back first."""
     out = []
+    store.apply(queue.reap_expired, queue_name, now, options.get("max_attempts", 5))
     while got := consume_once(spark, store, queue_name, tables, dead, now, **options) or queue.queue_stats(store.table(), queue_name).first().pending:
         out += got if isinstance(got, list) else []
     return out

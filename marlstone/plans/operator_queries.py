@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import buckets, coerce
-from marlstone.operators import envelope, ingest, queue
+from marlstone.operators import envelope, ingest, queue, worker
 from marlstone.plans import catalog, measure
 from marlstone.session import table
+from marlstone.sources import tsv
+from marlstone.sources.catalog import DATASETS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -407,3 +409,122 @@ def queue_fold(spark: SparkSession, d: str) -> DataFrame:
 def payload_stats(spark: SparkSession, d: str) -> DataFrame:
     stats = envelope.payload_stats(table(spark, d, "events"), "props", 8)
     return stats.withColumns({"min_bytes": F.col("min_bytes").cast("bigint"), "max_bytes": F.col("max_bytes").cast("bigint")})
+
+
+# delimited text
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as lines of a ratings file: every 7th short, every 11th with two fields more, every 13th without a key, and a header and a blank line."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    rating = F.format_string("%d.%d", key % 10, key % 7)
+    votes = F.when(key % 5 == 0, F.lit("many")).when(key % 17 == 0, F.lit("3000000000")).otherwise(F.col("o_custkey").cast("string"))
+    fields = [F.when(key % 13 == 0, F.lit(r"\N")).otherwise(key.cast("string")), rating]
+    line = F.when(key % 7 == 0, F.concat_ws("\t", *fields)).when(key % 11 == 0, F.concat_ws("\t", *fields, votes, F.lit("x"), F.lit("y"))).otherwise(F.concat_ws("\t", *fields, votes))
+    head = spark.createDataFrame([("tconst\taverageRating\tnumVotes",), ("",)], "value string")
+    return head.union(o.select(line.alias("value")))
+
+
+_LINES = """l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS tconst, (o_orderkey % 10) * 10 + o_orderkey % 7 AS tenths,
+    CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'many' WHEN o_orderkey % 17 = 0 THEN '3000000000' ELSE CAST(o_custkey AS VARCHAR) END END AS votes,
+    o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 AS extra FROM orders),
+    t AS (SELECT *, TRY_CAST(votes AS BIGINT) AS num_votes FROM l)"""
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.coerce_rows(tsv.split_lines(_lines(spark, d), ["tconst", "averageRating", "numVotes"]), DATASETS["title_ratings"])
+
+
+@query(f"""WITH {_LINES} SELECT tconst, CAST(tenths AS BIGINT) AS tenths, num_votes FROM t WHERE NOT extra AND tconst IS NOT NULL AND (num_votes IS NULL OR num_votes <= 2147483647)""")
+def tsv_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines to typed rows for the table: short ones padded, wrong forms null."""
+    rows = tsv.accepted(_typed(spark, d), DATASETS["title_ratings"])
+    return rows.select("tconst", (F.col("average_rating") * 10).cast("bigint").alias("tenths"), F.col("num_votes").cast("bigint").alias("num_votes"))
+
+
+@query(f"""WITH {_LINES} SELECT coalesce(tconst, '-') AS tconst, CASE WHEN extra THEN 'extra fields' ELSE 'out of range: num_votes' END AS error, CASE WHEN extra THEN 'x,y' END AS extra
+    FROM t WHERE extra OR (tconst IS NOT NULL AND num_votes > 2147483647)""")
+def tsv_extra_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What a table cannot take goes to the dead letter, extra fields and all."""
+    payload = F.from_json("payload", "tconst string, extra array<string>")
+    rows = tsv.rejected(_typed(spark, d), "title_ratings").select("error", payload.alias("p"))
+    return rows.select(F.coalesce("p.tconst", F.lit("-")).alias("tconst"), "error", F.when(F.col("p.extra").isNotNull(), F.array_join("p.extra", ",")).alias("extra"))
+
+
+@query(f"""WITH {_LINES} SELECT reason, count(*) AS n FROM (
+    SELECT 'title_ratings.num_votes: wrong form' AS reason FROM t WHERE votes = 'many'
+    UNION ALL SELECT 'title_ratings: extra fields' FROM t WHERE extra
+    UNION ALL SELECT 'title_ratings: without tconst' FROM t WHERE NOT extra AND tconst IS NULL) r GROUP BY 1""")
+def tsv_quality_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.quality_counts(_typed(spark, d), "title_ratings")
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT tconst, num_votes, votes FROM t WHERE tconst IS NOT NULL AND NOT extra)
+    SELECT tconst, CASE WHEN votes = 'many' THEN '22P02' WHEN num_votes > 2147483647 THEN '22003' END AS sqlstate, CASE WHEN votes = 'many' OR num_votes > 2147483647 THEN 'num_votes' END AS error FROM m""")
+def typed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of messages to the types of their table, with the state that a fault has."""
+    lines = tsv.split_lines(_lines(spark, d), ["tconst", "averageRating", "numVotes"]).filter(r"tconst <> '\\N' and _extra is null")
+    rows = lines.select(F.to_json(F.struct("tconst", F.col("averageRating").alias("average_rating"), F.col("numVotes").alias("num_votes"))).alias("row"))
+    return worker.typed_rows(rows, DATASETS["title_ratings"]).select("tconst", "sqlstate", "error")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'b' || (o_orderkey % 9) END AS bucket, o_totalprice >= 10000 AS popular FROM orders""")
+def metadata_json(spark: SparkSession, d: str) -> DataFrame:
+    """Derived attributes as JSON, and out of it again."""
+    rating = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 9).cast("double"))
+    rows = table(spark, d, "orders").select("o_orderkey", buckets.rating_metadata(rating, F.col("o_totalprice")).alias("m"))
+    low = F.split_part(F.get_json_object("m", "$.rating_bucket"), F.lit("-"), F.lit(1))
+    return rows.select("o_orderkey", F.concat(F.lit("b"), low).alias("bucket"), F.get_json_object("m", "$.popular").cast("boolean").alias("popular"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || '.0 B' WHEN b < 1048576 THEN (b // 1024) || '.5 KiB' ELSE '1,000.0 PiB' END AS shown
+    FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 1000 WHEN 1 THEN (o_orderkey % 900 + 1) * 1024 + 512 ELSE 1125899906842624000 END AS b FROM orders) o""")
+def byte_units(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    n = F.when(key % 3 == 0, key % 1000).when(key % 3 == 1, (key % 900 + 1) * 1024 + 512).otherwise(F.lit(1_125_899_906_842_624_000))
+    return table(spark, d, "orders").select("o_orderkey", buckets.human_bytes(n).alias("shown"))
+
+
+@query("""SELECT 'orders' AS table_name, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS inserted, count(*) FILTER (WHERE o_orderkey % 4 IN (2, 3)) AS skipped, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS bad FROM orders""")
+def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Offered rows by what became of them."""
+    rows = table(spark, d, "orders").select("o_orderkey")
+    good, bad = ingest.split_valid(rows, F.col("o_orderkey") % 4 == 0)
+    new = ingest.insert_new(good, rows.filter("o_orderkey % 4 > 1"), ["o_orderkey"], ["o_orderkey"])
+    return ingest.totals(rows, new, bad, "orders")
+
+
+# messages into the queue
+
+
+@query("""SELECT 1000 + row_number() OVER (ORDER BY event_id DESC) AS id, event_id, 'pending' AS status FROM events WHERE event_id % 3 <> 0""")
+def queue_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    """A frame of messages gets ids in the order given; null payloads are skipped."""
+    payload = F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string"))
+    messages = table(spark, d, "events").select((-F.col("event_id")).alias("position"), payload.alias("payload"))
+    rows = queue.enqueue_frame(queue.empty(spark), "q", messages, NOW, 1001)[0]
+    return rows.select("id", F.col("payload").cast("bigint").alias("event_id"), "status")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS messages, true AS in_order, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM (SELECT o_orderkey, 1 AS n_rows FROM orders) o")
+def queue_order(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of one row each: ids ascend with the rows' keys, whatever the number of partitions and batches."""
+    messages = envelope.batch_messages(table(spark, d, "orders").select("o_orderkey"), "orders", ["o_orderkey"], ["o_orderkey"], 1)
+    rows = queue.enqueue_frame(queue.empty(spark), "q", messages, NOW, 1)[0].select("id", F.get_json_object("payload", "$.rows[0].o_orderkey").cast("bigint").alias("key"))
+    # of n rows with ids 1 to n in the order of the key, all have a key no less than those before
+    ranked = rows.select("id", "key", F.row_number().over(Window.partitionBy(F.floor((F.col("id") - 1) / 64)).orderBy("key")).alias("rank"))
+    ends = rows.groupBy(F.floor((F.col("id") - 1) / 64).alias("part")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    apart = ends.alias("a").join(ends.alias("b"), F.col("a.part") + 1 == F.col("b.part")).agg(F.coalesce(F.bool_and(F.col("a.high") < F.col("b.low")), F.lit(True)).alias("apart"))
+    inside = ranked.agg(F.count(F.lit(1)).alias("messages"), F.bool_and((F.col("id") - 1) % 64 + 1 == F.col("rank")).alias("inside"))
+    return inside.join(F.broadcast(apart)).select("messages", (F.col("inside") & F.col("apart")).alias("in_order"), F.col("messages").alias("n_rows"))
+
+
+@query(f"""WITH {_QUEUE}, r AS (SELECT *, queue_name = 'even' AND status = 'processing' AND ts + INTERVAL 30 SECOND < TIMESTAMP '2024-01-20 12:00:00' AS over FROM q),
+    a AS (SELECT id, queue_name, CASE WHEN over THEN CASE WHEN attempts + 1 >= 5 THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN over THEN attempts + 1 ELSE attempts END AS attempts FROM r),
+    c AS (SELECT id FROM a WHERE queue_name = 'even' AND status = 'pending' ORDER BY id LIMIT 50)
+    SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'done' ELSE status END AS status, CAST(attempts AS BIGINT) AS attempts FROM a""")
+def queue_reap_drain(spark: SparkSession, d: str) -> DataFrame:
+    """A worker's round: what a dead one held is taken back, the next fifty are claimed and ended."""
+    rows, _ = queue.reap_expired(_queue(spark, d), "even", NOW)
+    rows, taken = queue.dequeue(rows, "even", NOW, 50)
+    return queue.ack(rows, taken.select(F.col("msg_id").alias("id")), NOW)[0].select("id", "status", *_big("attempts"))

@@ -1,21 +1,24 @@
 """Delimited text with a header: read raw, coerce, and tell good rows from bad ones.
 
 The text is split on tabs by an expression, not by a CSV reader: there is no
-quoting, short rows are padded with nulls, and rows with extra fields are set
-apart. A gzip file is one task; the parsed rows can be dealt out from there.
+quoting, short rows are padded with nulls, and rows with extra fields, whose fields
+cannot be told apart, are kept from the table: they go to the dead letters, with the
+extra ones, and are counted. A gzip file is one task; the parsed rows can be dealt
+out from there.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.coerce import COERCERS, LARGEST_INT, clean
 from marlstone.sources.catalog import DATASETS, Dataset
 
+EXTRA = "extra fields"
 BOM = "﻿"
 
 
@@ -37,11 +40,11 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def split_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """From value: one nullable string column per field and _extra boolean. Blank lines and the header go; so does a data row equal to the header."""
+    """From value: one nullable string column per field and _extra array<string>: what follows the last field, null if nothing does. Blank lines and the header go; so does a data row equal to the header."""
     line = F.regexp_replace("value", f"^{BOM}", "")
     rows = lines.select(line.alias("value")).filter((F.col("value") != "") & (F.col("value") != "\t".join(fields)))
     parts = F.split("value", "\t", -1)
-    return rows.select(*[F.get(parts, F.lit(k)).alias(f) for k, f in enumerate(fields)], (F.size(parts) > len(fields)).alias("_extra"))
+    return rows.select(*[F.get(parts, F.lit(k)).alias(f) for k, f in enumerate(fields)], F.when(F.size(parts) > len(fields), F.slice(parts, len(fields) + 1, F.size(parts))).alias("_extra"))
 
 
 def _fits(column: Column, kind: str) -> Column:
@@ -54,7 +57,7 @@ def _fits(column: Column, kind: str) -> Column:
 
 
 def coerce_rows(raw: DataFrame, dataset: Dataset) -> DataFrame:
-    """Typed columns of dataset, then _uncoercible array<string> (columns that held a value that would not fit), _dropped (the first missing required column, or "extra fields", else null) and _misfit (the first column whose value is out of the declared range, else null)."""
+    """Typed columns of dataset, then _uncoercible array<string> (columns that held a value that would not fit), _dropped (the first missing required column, or EXTRA, else null), _misfit (the first column whose value is out of the declared range, else null) and _extra."""
     have = set(raw.columns)
     source = lambda f: clean(F.col(f)) if f in have else F.lit(None).cast("string")
     value = {c: COERCERS[kind](source(f)) for f, c, kind in dataset.fields}
@@ -63,18 +66,28 @@ def coerce_rows(raw: DataFrame, dataset: Dataset) -> DataFrame:
     kinds = {c: kind for _, c, kind in dataset.fields}
     missing = F.coalesce(*[F.when(value[c].isNull(), F.lit(c)) for c in dataset.required])
     typed = [F.when(_fits(value[c], kinds[c]), value[c]).cast(dataset.schema[c].dataType).alias(c) for _, c, _ in dataset.fields]
-    extra = F.when(F.col("_extra"), F.lit("extra fields")) if "_extra" in have else F.lit(None).cast("string")
-    return raw.select(*typed, lost.alias("_uncoercible"), F.coalesce(extra, missing).alias("_dropped"), misfit.alias("_misfit"))
+    extra = F.col("_extra") if "_extra" in have else F.lit(None).cast("array<string>")
+    return raw.select(*typed, lost.alias("_uncoercible"), F.coalesce(F.when(extra.isNotNull(), F.lit(EXTRA)), missing).alias("_dropped"), misfit.alias("_misfit"), extra.alias("_extra"))
 
 
-def read_dataset(spark: SparkSession, path: str, name: str, skip_lines: int = 0) -> DataFrame:
-    """coerce_rows of one dataset's files. skip_lines leaves out so many physical lines after the header of a single file, for a restart."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a single text file, the header being line 0. A file read in several blocks is numbered from the counts of the blocks before."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # a row for each block of the file
+    before = blocks.select("_block", "_first", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    return lines.join(before, "_block").select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
+
+
+def read_dataset(spark: SparkSession, path: str, name: str, skip_lines: int = 0, upto: int | None = None) -> DataFrame:
+    """coerce_rows of one dataset's files. skip_lines leaves out so many physical lines after the header of a single file, for a restart; upto is the last line to read."""
     dataset = DATASETS[name]
-    lines = spark.read.text(path)
     fields = header(spark, path)
-    if skip_lines:
-        numbered = lines.select("value", F.monotonically_increasing_id().alias("_line"))
-        lines = numbered.filter((F.col("_line") == 0) | (F.col("_line") > skip_lines)).select("value")
+    if skip_lines or upto is not None:
+        wanted = F.col("line") > skip_lines
+        lines = numbered_lines(spark, path).filter(wanted if upto is None else wanted & (F.col("line") <= upto)).select("value")
+    else:
+        lines = spark.read.text(path)
     return coerce_rows(split_lines(lines, fields), dataset)
 
 
@@ -85,15 +98,16 @@ def accepted(rows: DataFrame, dataset: Dataset) -> DataFrame:
 
 
 def rejected(rows: DataFrame, name: str) -> DataFrame:
-    """Rows for the dead letter: table_name, payload (JSON of the row), error."""
+    """Rows for the dead letter: table_name, payload (JSON of the row, with the extra fields if there are any), error."""
     columns = [c for _, c, _ in DATASETS[name].fields]
-    bad = rows.filter("_dropped is null and _misfit is not null")
-    return bad.select(F.lit(name).alias("table_name"), F.to_json(F.struct(*columns)).alias("payload"), F.concat(F.lit("out of range: "), F.col("_misfit")).alias("error"))
+    bad = rows.filter((F.col("_dropped") == EXTRA) | F.col("_dropped").isNull() & F.col("_misfit").isNotNull())
+    payload = F.to_json(F.struct(*columns, F.col("_extra").alias("extra")))
+    return bad.select(F.lit(name).alias("table_name"), payload.alias("payload"), F.coalesce("_dropped", F.concat(F.lit("out of range: "), F.col("_misfit"))).alias("error"))
 
 
 def quality_counts(rows: DataFrame, name: str) -> DataFrame:
-    """reason, n: how often each column was uncoercible and how many rows were dropped and why, most frequent first."""
-    lost = rows.select(F.explode("_uncoercible").alias("c")).select(F.concat(F.lit(f"{name}."), F.col("c"), F.lit(": uncoercible")).alias("reason"))
-    why = F.when(F.col("_dropped") == "extra fields", F.lit(f"{name}: dropped (extra fields)")).otherwise(F.concat(F.lit(f"{name}: dropped (missing NOT NULL "), F.col("_dropped"), F.lit(")")))
+    """reason, n: how often a column's value had the wrong form, and how many rows are not in the table and why, most frequent first."""
+    lost = rows.select(F.explode("_uncoercible").alias("c")).select(F.concat(F.lit(f"{name}."), F.col("c"), F.lit(": wrong form")).alias("reason"))
+    why = F.when(F.col("_dropped") == EXTRA, F.lit(f"{name}: {EXTRA}")).otherwise(F.concat(F.lit(f"{name}: without "), F.col("_dropped")))
     gone = rows.filter("_dropped is not null").select(why.alias("reason"))
     return lost.union(gone).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")

@@ -43,11 +43,11 @@ def test_dirty_basics(spark, tmp_path):
     assert good["t3"].original_title is None and good["t3"].genres is None
     assert (good["t6"].start_year, good["t6"].runtime_minutes, good["t6"].genres) == (-5, None, ["A", "B"])
     bad = tsv.rejected(rows, "title_basics").collect()
-    assert [(r.table_name, json.loads(r.payload)["tconst"], r.error) for r in bad] == [("title_basics", "t5", "out of range: runtime_minutes")]
+    assert sorted((r.table_name, json.loads(r.payload)["tconst"], r.error, json.loads(r.payload).get("extra")) for r in bad) == [("title_basics", "t4", "extra fields", ["B"]), ("title_basics", "t5", "out of range: runtime_minutes", None)]
     counts = {r.reason: r.n for r in tsv.quality_counts(rows, "title_basics").collect()}
     assert counts == {
-        "title_basics.is_adult: uncoercible": 1, "title_basics.start_year: uncoercible": 1, "title_basics.runtime_minutes: uncoercible": 1, "title_basics.genres: uncoercible": 1,
-        "title_basics: dropped (extra fields)": 1, "title_basics: dropped (missing NOT NULL tconst)": 1,
+        "title_basics.is_adult: wrong form": 1, "title_basics.start_year: wrong form": 1, "title_basics.runtime_minutes: wrong form": 1, "title_basics.genres: wrong form": 1,
+        "title_basics: extra fields": 1, "title_basics: without tconst": 1,
     }
     declared = DATASETS["title_basics"].schema
     assert [f.dataType for f in tsv.accepted(rows, DATASETS["title_basics"]).schema] == [f.dataType for f in declared][:-1]
@@ -80,8 +80,8 @@ def test_metadata_and_reports(spark):
         {"src": "title.ratings", "rating_bucket": "7-8", "vote_bucket": "10k-100k", "popular": True}, {"src": "title.ratings", "rating_bucket": "10", "vote_bucket": "<1k", "popular": False},
         {"src": "title.ratings", "vote_bucket": "1k-10k", "popular": False}, {"src": "title.ratings", "rating_bucket": "3-4"}, None, {"src": "title.ratings", "rating_bucket": "0-1", "vote_bucket": "100k+", "popular": True},
     ]
-    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536 * 1024,), (5 * 1024**4,)], "n long")
-    assert [r[0] for r in sizes.select(buckets.human_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KiB", "1.5 MiB", "5.0 TiB"]
+    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536 * 1024,), (5 * 1024**4,), (1024**5 * 2048,), (1023 * 1024,), (-1536,)], "n long")
+    assert [r[0] for r in sizes.select(buckets.human_bytes(F.col("n"))).collect()] == ["0.0 B", "1,023.0 B", "1.0 KiB", "1.5 MiB", "5.0 TiB", "2,048.0 PiB", "1,023.0 KiB", "-1.5 KiB"]
     lines = spark.createDataFrame([(" a\nb ", 2.0, 1.0, "40001"), ("x" * 600, 0.0, 1.0, None)], "t string, b double, a double, s string")
     got = lines.select(buckets.one_line(F.col("t")), buckets.percent_change(F.col("b"), F.col("a")), buckets.is_transient(F.col("s"))).collect()
     assert tuple(got[0]) == ("a b", 50.0, True) and tuple(got[1]) == ("x" * 500, None, False)
@@ -155,3 +155,18 @@ def test_broken_gzip_is_told(spark, tmp_path):
     data = (tmp_path / "a.tsv.gz").read_bytes()
     (tmp_path / "b.tsv.gz").write_bytes(data[: len(data) // 2])
     assert not tsv.is_whole(spark, str(tmp_path / "b.tsv.gz"))
+
+
+def test_lines_of_a_split_file_are_numbered(spark, tmp_path):
+    path = tmp_path / "r.tsv"
+    path.write_text("tconst\taverageRating\tnumVotes\n" + "".join(f"t{k}\t5.0\t{k}\n" for k in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 3
+        lines = {r.line: r.value for r in tsv.numbered_lines(spark, str(path)).collect()}
+        assert len(lines) == 3001 and all(lines[k] == f"t{k}\t5.0\t{k}" for k in range(1, 3001))
+        votes = sorted(r.num_votes for r in tsv.read_dataset(spark, str(path), "title_ratings", 1000, 2500).collect())
+        assert votes == list(range(1001, 2501))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
