@@ -16,7 +16,7 @@ def plan(spark, name):
 
 @pytest.mark.parametrize("name, column", [("s2", "o_totalprice"), ("s2", "o_orderstatus"), ("s4", "o_orderdate"), ("s4", "o_orderstatus"), ("filter_range_in_notnull", "p_size"), ("filter_in_join_condition", "c_acctbal")])
 def test_filters_reach_the_reader(spark, name, column):
-    assert re.search(rf"PushedFilters: \[[^\]]*\((?:{column})\b,", plan(spark, name))
+    assert re.search(rf"PushedFilters: .*\({column},", plan(spark, name))
 
 
 def test_scans_read_what_is_needed(spark):
