@@ -31,10 +31,10 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = (8.0, 1.
     return _level(vectors[:, 0], out, shards)
 
 
-def _level(sizes: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
-    """Move items from the largest to the smallest shard while that brings their bytes closer together."""
+def _level(sizes: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Move items from the largest to the smallest shard while that brings their bytes closer together. Each move lessens the sum of squared loads, so this ends."""
     load = np.bincount(shard, sizes, shards)
-    for _ in range(rounds):
+    while True:
         high, low = int(load.argmax()), int(load.argmin())
         gap = load[high] - load[low]
         mine = np.flatnonzero((shard == high) & (sizes > 0) & (sizes < gap))
