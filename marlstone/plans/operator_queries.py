@@ -435,26 +435,32 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return tsv.coerce_rows(tsv.split_lines(_lines(spark, d), ["tconst", "averageRating", "numVotes"]), DATASETS["title_ratings"])
 
 
-@query(f"""WITH {_LINES} SELECT tconst, CAST(tenths AS BIGINT) AS tenths, num_votes FROM t WHERE NOT extra AND tconst IS NOT NULL AND (num_votes IS NULL OR num_votes <= 2147483647)""")
+@query(f"""WITH {_LINES} SELECT tconst, CAST(tenths AS BIGINT) AS tenths, num_votes FROM t WHERE tconst IS NOT NULL AND (num_votes IS NULL OR num_votes <= 2147483647)""")
 def tsv_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Lines to typed rows for the table: short ones padded, wrong forms null."""
+    """Lines to typed rows for the table: short ones padded, long ones by their first fields, wrong forms null."""
     rows = tsv.accepted(_typed(spark, d), DATASETS["title_ratings"])
     return rows.select("tconst", (F.col("average_rating") * 10).cast("bigint").alias("tenths"), F.col("num_votes").cast("bigint").alias("num_votes"))
 
 
-@query(f"""WITH {_LINES} SELECT coalesce(tconst, '-') AS tconst, CASE WHEN extra THEN 'extra fields' ELSE 'out of range: num_votes' END AS error, CASE WHEN extra THEN 'x,y' END AS extra
-    FROM t WHERE extra OR (tconst IS NOT NULL AND num_votes > 2147483647)""")
+@query(f"""WITH {_LINES} SELECT tconst, num_votes FROM t WHERE extra AND tconst IS NOT NULL AND (num_votes IS NULL OR num_votes <= 2147483647)""")
 def tsv_extra_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with more fields than the header are in the table."""
+    rows = tsv.accepted(_typed(spark, d).filter("_extra is not null"), DATASETS["title_ratings"])
+    return rows.select("tconst", F.col("num_votes").cast("bigint").alias("num_votes"))
+
+
+@query(f"""WITH {_LINES} SELECT tconst, 'out of range: num_votes' AS error, CASE WHEN extra THEN 'x,y' END AS extra FROM t WHERE tconst IS NOT NULL AND num_votes > 2147483647""")
+def tsv_rejected(spark: SparkSession, d: str) -> DataFrame:
     """What a table cannot take goes to the dead letter, extra fields and all."""
     payload = F.from_json("payload", "tconst string, extra array<string>")
     rows = tsv.rejected(_typed(spark, d), "title_ratings").select("error", payload.alias("p"))
-    return rows.select(F.coalesce("p.tconst", F.lit("-")).alias("tconst"), "error", F.when(F.col("p.extra").isNotNull(), F.array_join("p.extra", ",")).alias("extra"))
+    return rows.select("p.tconst", "error", F.when(F.col("p.extra").isNotNull(), F.array_join("p.extra", ",")).alias("extra"))
 
 
 @query(f"""WITH {_LINES} SELECT reason, count(*) AS n FROM (
     SELECT 'title_ratings.num_votes: wrong form' AS reason FROM t WHERE votes = 'many'
     UNION ALL SELECT 'title_ratings: extra fields' FROM t WHERE extra
-    UNION ALL SELECT 'title_ratings: without tconst' FROM t WHERE NOT extra AND tconst IS NULL) r GROUP BY 1""")
+    UNION ALL SELECT 'title_ratings: without tconst' FROM t WHERE tconst IS NULL) r GROUP BY 1""")
 def tsv_quality_counts(spark: SparkSession, d: str) -> DataFrame:
     return tsv.quality_counts(_typed(spark, d), "title_ratings")
 

@@ -1,10 +1,9 @@
 """Delimited text with a header: read raw, coerce, and tell good rows from bad ones.
 
 The text is split on tabs by an expression, not by a CSV reader: there is no
-quoting, short rows are padded with nulls, and rows with extra fields, whose fields
-cannot be told apart, are kept from the table: they go to the dead letters, with the
-extra ones, and are counted. A gzip file is one task; the parsed rows can be dealt
-out from there.
+quoting, short rows are padded with nulls, and rows with extra fields are rows like
+others: their first fields go to the table, what follows stays in _extra, and they
+are counted. A gzip file is one task; the parsed rows can be dealt out from there.
 """
 
 from __future__ import annotations
@@ -57,7 +56,7 @@ def _fits(column: Column, kind: str) -> Column:
 
 
 def coerce_rows(raw: DataFrame, dataset: Dataset) -> DataFrame:
-    """Typed columns of dataset, then _uncoercible array<string> (columns that held a value that would not fit), _dropped (the first missing required column, or EXTRA, else null), _misfit (the first column whose value is out of the declared range, else null) and _extra."""
+    """Typed columns of dataset, then _uncoercible array<string> (columns that held a value that would not fit), _dropped (the first missing required column, else null), _misfit (the first column whose value is out of the declared range, else null) and _extra."""
     have = set(raw.columns)
     source = lambda f: clean(F.col(f)) if f in have else F.lit(None).cast("string")
     value = {c: COERCERS[kind](source(f)) for f, c, kind in dataset.fields}
@@ -67,7 +66,7 @@ def coerce_rows(raw: DataFrame, dataset: Dataset) -> DataFrame:
     missing = F.coalesce(*[F.when(value[c].isNull(), F.lit(c)) for c in dataset.required])
     typed = [F.when(_fits(value[c], kinds[c]), value[c]).cast(dataset.schema[c].dataType).alias(c) for _, c, _ in dataset.fields]
     extra = F.col("_extra") if "_extra" in have else F.lit(None).cast("array<string>")
-    return raw.select(*typed, lost.alias("_uncoercible"), F.coalesce(F.when(extra.isNotNull(), F.lit(EXTRA)), missing).alias("_dropped"), misfit.alias("_misfit"), extra.alias("_extra"))
+    return raw.select(*typed, lost.alias("_uncoercible"), missing.alias("_dropped"), misfit.alias("_misfit"), extra.alias("_extra"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +91,7 @@ def read_dataset(spark: SparkSession, path: str, name: str, skip_lines: int = 0,
 
 
 def accepted(rows: DataFrame, dataset: Dataset) -> DataFrame:
-    """Rows for the table, with the declared columns."""
+    """Rows for the table, with the declared columns; rows with extra fields are among them."""
     columns = [F.col(c) for _, c, _ in dataset.fields]
     return rows.filter("_dropped is null and _misfit is null").select(*columns)
 
@@ -100,14 +99,14 @@ def accepted(rows: DataFrame, dataset: Dataset) -> DataFrame:
 def rejected(rows: DataFrame, name: str) -> DataFrame:
     """Rows for the dead letter: table_name, payload (JSON of the row, with the extra fields if there are any), error."""
     columns = [c for _, c, _ in DATASETS[name].fields]
-    bad = rows.filter((F.col("_dropped") == EXTRA) | F.col("_dropped").isNull() & F.col("_misfit").isNotNull())
+    bad = rows.filter("_dropped is null and _misfit is not null")
     payload = F.to_json(F.struct(*columns, F.col("_extra").alias("extra")))
-    return bad.select(F.lit(name).alias("table_name"), payload.alias("payload"), F.coalesce("_dropped", F.concat(F.lit("out of range: "), F.col("_misfit"))).alias("error"))
+    return bad.select(F.lit(name).alias("table_name"), payload.alias("payload"), F.concat(F.lit("out of range: "), F.col("_misfit")).alias("error"))
 
 
 def quality_counts(rows: DataFrame, name: str) -> DataFrame:
-    """reason, n: how often a column's value had the wrong form, and how many rows are not in the table and why, most frequent first."""
+    """reason, n: how often a column's value had the wrong form, how many rows lack a required column, and how many have extra fields (which keeps none from the table), most frequent first."""
     lost = rows.select(F.explode("_uncoercible").alias("c")).select(F.concat(F.lit(f"{name}."), F.col("c"), F.lit(": wrong form")).alias("reason"))
-    why = F.when(F.col("_dropped") == EXTRA, F.lit(f"{name}: {EXTRA}")).otherwise(F.concat(F.lit(f"{name}: without "), F.col("_dropped")))
-    gone = rows.filter("_dropped is not null").select(why.alias("reason"))
-    return lost.union(gone).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+    gone = rows.filter("_dropped is not null").select(F.concat(F.lit(f"{name}: without "), F.col("_dropped")).alias("reason"))
+    longer = rows.filter("_extra is not null").select(F.lit(f"{name}: {EXTRA}").alias("reason"))
+    return lost.union(gone).union(longer).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
