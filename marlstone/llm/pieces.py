@@ -16,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -35,6 +36,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an uncovered character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: Characters from which on a text's parts are taken one by one, and not listed.
+LONG_TEXT = 1 << 20
+#: Score, start and piece of a position: 16 bytes a character, however long a part is.
+_SCORE, _START, _PIECE = array("d", [-float("inf")]), array("i", [0]), array("i", [-1])
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -103,18 +108,18 @@ class PieceModel:
             machine.make_automaton()
             byte_ids = {int(text[1:-1], 16): number for number, (text, _, kind) in enumerate(self.pieces) if kind == BYTE}
             unknown = next((n for n, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
-            parts = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+            parts = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+")
             byte = lambda b: chr(b if b < 128 else 0xDC00 + b)  # noqa: E731  what surrogateescape turns into that byte
             shown = [byte(int(t[1:-1], 16)) if k == BYTE else "" if k in (CONTROL, UNKNOWN) else t.replace(MARK, " ") for t, _, k in self.pieces]
             self._ready = (machine, worst - UNKNOWN_PENALTY, byte_ids, unknown, parts, _Solved(self), shown)
         return self._ready
 
-    def best_path(self, text: str) -> list[int]:
-        """Ids of the best path over a normalised text."""
+    def best_path(self, text: str) -> array:
+        """Ids (int32) of the best path over a normalised text."""
         machine, lost, byte_ids, unknown, *_ = self.ready()
         n = len(text)
-        score = [-float("inf")] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        # lists are faster, and small for short parts
+        score, starts, numbers = ([k[0]] * (n + 1) if n < 1024 else k * (n + 1) for k in (_SCORE, _START, _PIECE))
         score[0] = 0.0
         done = 0  # positions up to this one have their final score
         covered = False  # by a piece of one character
@@ -125,7 +130,7 @@ class PieceModel:
                 done += 1
                 if not covered and score[done - 1] + lost > score[done]:
                     score[done] = score[done - 1] + lost
-                    back[done] = (done - 1, -1)
+                    starts[done], numbers[done] = done - 1, -1
                 covered = False
 
         for end, (size, gain, number) in machine.iter(text):
@@ -135,12 +140,12 @@ class PieceModel:
             covered |= size == 1
             if got > score[end + 1]:
                 score[end + 1] = got
-                back[end + 1] = (end + 1 - size, number)
+                starts[end + 1], numbers[end + 1] = end + 1 - size, number
         bare(n)
-        out: list[int] = []
+        out = array("i")
         at = n
         while at:
-            start, number = back[at]
+            start, number = starts[at], numbers[at]
             if number >= 0:
                 out.append(number)
             else:
@@ -162,13 +167,14 @@ class PieceModel:
             piece = piece.replace(" ", MARK)
             if k == 0 and self.prefix:
                 piece = MARK + piece
-            out.extend(map(solved.__getitem__, parts(piece)))
+            found = parts.findall(piece) if len(piece) < LONG_TEXT else (m[0] for m in parts.finditer(piece))
+            out.extend(map(solved.__getitem__, found))
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids. Byte tokens are joined to characters; bytes that form none become U+FFFD."""
         shown = self.ready()[6]
         text = "".join(map(shown.__getitem__, ids))
@@ -264,7 +270,7 @@ def round_trip(documents: DataFrame, model: PieceModel) -> DataFrame:
                 text = text.as_py() or ""
                 data = own.encode_bytes(text)
                 ids = np.frombuffer(data, "<i4")
-                rows.append((len(ids), int(is_byte[ids].sum()), hashlib.sha256(data).hexdigest(), own.decode(ids.tolist()) == text))
+                rows.append((len(ids), int(is_byte[ids].sum()), hashlib.sha256(data).hexdigest(), own.decode(array("i", data)) == text))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))]], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "exact"])
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from pathlib import Path
 
 import sentencepiece
@@ -36,6 +37,21 @@ def test_round_trip_of_odd_texts():
         assert MODEL.decode(MODEL.encode(t)) == t, repr(t)
 
 
+def test_long_text_without_spaces():
+    """A part of any length is solved whole, in memory of few bytes a character."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("thonest中ing①\U0001d4d0", k=300_000))
+    assert MODEL.encode(text) == library().encode(text)
+    tracemalloc.start()
+    data = MODEL.encode_bytes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert MODEL.decode(pieces.array("i", data)) == text and peak < 60 * len(text)
+    for words in ("a bc ", "▁"):
+        long = words * (pieces.LONG_TEXT // len(words) + 9)
+        assert MODEL.decode(MODEL.encode(long)) == long
+
+
 def test_best_path_is_optimal():
     own = pieces.PieceModel([("<unk>", 0, 2), ("a", -1.0, 1), ("b", -1.5, 1), ("ab", -2.2, 1), ("ba", -2.6, 1), ("aba", -3.0, 1), ("b▁a", -0.5, 1), ("▁", -1.0, 1), ("!", -0.3, 4), *[(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]], prefix=False)
     gain = {t: s for t, s, k in own.pieces if k == 1} | {"!": 1 * -0.5 - 0.1}
