@@ -125,6 +125,30 @@ def test_sharding_is_gapless_and_even(spark):
     assert sharding.assign_shards(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sharding_of_copies(spark, monkeypatch):
+    """Rows equal in id and text are spread; other groups stay whole, each an item of its own where they are large."""
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rng = random.Random(8)
+    rows = [(None, None, "s", "x", 0)] * 4000 + [(7, "same id and text " * 5, "s", "x", 0)] * 2000 + [(i, f"{i % 1000} " * rng.randint(1, 60), "s", "x", 0) for i in range(6000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, DOCS), 24, parcels=512).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 4000
+    load = np.bincount([r.shard for r in got], [r.size for r in got], 24)
+    assert load.max() / load.min() < 1.02
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    homes = {}
+    for r in got:
+        if r.doc_id not in (None, 7):
+            homes.setdefault(r.text_crc32, set()).add(r.shard)
+    piece = sum(r.size for r in got) / 24 / 64
+    size = {}
+    for r in got:
+        size[r.text_crc32] = size.get(r.text_crc32, 0) + r.size
+    assert all(len(h) == 1 for c, h in homes.items() if size[c] <= piece)
+
+
 def test_url_rules(spark):
     urls = [None, "", "nohost", "http://A.Example.ORG/es/1?x", "x://org/p", "http://borg/p", "http://example.org/en/12#t", "https://c.com/de/5", "https://c.com/fr/5", "https://c.com", "https://é.ÉxamplE.com/de", "a://b.org/c://d.com/de/1", "http://h.net/x\ny/1"]
     got = {r.page_id: r for r in url_tree.judge_urls(pages(spark, urls), registry.URL_RULES).collect()}
