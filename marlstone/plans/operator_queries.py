@@ -465,11 +465,11 @@ def tsv_quality_counts(spark: SparkSession, d: str) -> DataFrame:
     return tsv.quality_counts(_typed(spark, d), "title_ratings")
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT tconst, num_votes, votes FROM t WHERE tconst IS NOT NULL AND NOT extra)
+@query(f"""WITH {_LINES}, m AS (SELECT tconst, num_votes, votes FROM t WHERE tconst IS NOT NULL)
     SELECT tconst, CASE WHEN votes = 'many' THEN '22P02' WHEN num_votes > 2147483647 THEN '22003' END AS sqlstate, CASE WHEN votes = 'many' OR num_votes > 2147483647 THEN 'num_votes' END AS error FROM m""")
 def typed_messages(spark: SparkSession, d: str) -> DataFrame:
     """Rows of messages to the types of their table, with the state that a fault has."""
-    lines = tsv.split_lines(_lines(spark, d), ["tconst", "averageRating", "numVotes"]).filter(r"tconst <> '\\N' and _extra is null")
+    lines = tsv.split_lines(_lines(spark, d), ["tconst", "averageRating", "numVotes"]).filter(r"tconst <> '\\N'")
     rows = lines.select(F.to_json(F.struct("tconst", F.col("averageRating").alias("average_rating"), F.col("numVotes").alias("num_votes"))).alias("row"))
     return worker.typed_rows(rows, DATASETS["title_ratings"]).select("tconst", "sqlstate", "error")
 
