@@ -58,8 +58,8 @@ class Attention:
         return np.where(_GAP >= 0, far[np.clip(_GAP, 0, 2 * STRIDE - 1)], np.float32(-1e9)).astype(np.float32)
 
     @staticmethod
-    def _attend(queries: np.ndarray, seen: np.ndarray, mask: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(weights, gathered, windows): masked attention of runs of blocks. queries: runs x blocks x STRIDE x dims; seen: runs x (blocks + 1) STRIDE x (dims + 1), a block before the first; alone: whether a block begins a text and sees none before it."""
+    def _attend(queries: np.ndarray, seen: np.ndarray, mask: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(weights, their sums, gathered, windows): masked attention of runs of blocks. queries: runs x blocks x STRIDE x dims; seen: runs x (blocks + 1) STRIDE x (dims + 1), a block before the first; alone: whether a block begins a text and sees none before it."""
         runs, blocks, _, dims = queries.shape
         a, b, c = seen.strides
         windows_ = np.lib.stride_tricks.as_strided(seen, (runs, blocks, 2 * STRIDE, dims + 1), (a, STRIDE * b, b, c))
@@ -70,8 +70,7 @@ class Attention:
         np.exp(p, out=p)
         gathered = np.matmul(p, windows_)
         total = gathered[..., dims:]
-        p /= total
-        return p, gathered[..., :dims] / total, windows_
+        return p, total, gathered[..., :dims] / total, windows_
 
     def score(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, run: int = 256) -> np.ndarray:
         """Natural log probabilities (blocks x STRIDE), 0 where target is PAD.
@@ -93,7 +92,7 @@ class Attention:
             b = min(len(given), a + run)
             ids = inputs[a : b + 1].ravel()
             own = np.take(here, ids[STRIDE:], 0, mode="clip")
-            _, gathered, _ = self._attend(own[:, :dims].reshape(1, b - a, STRIDE, dims), np.take(seen, ids, 0, mode="clip")[None], mask, alone[None, a:b])
+            _, _, gathered, _ = self._attend(own[:, :dims].reshape(1, b - a, STRIDE, dims), np.take(seen, ids, 0, mode="clip")[None], mask, alone[None, a:b])
             logits = gathered.reshape(-1, dims) @ w["carry"]
             logits += own[:, dims:]
             np.clip(logits, -60, 60, out=logits)
@@ -113,7 +112,8 @@ class Attention:
         x = np.take(seen, np.where(ids == PAD, 0, ids), 0, mode="clip")
         own = x[:, STRIDE:, :dims].reshape(-1, dims)
         queries = (own @ w["match"]).reshape(runs, blocks, STRIDE, dims)
-        p, gathered, windows_ = self._attend(queries, x, self.mask(w["far"]), alone)
+        p, sums, gathered, windows_ = self._attend(queries, x, self.mask(w["far"]), alone)
+        p /= sums
         both = np.concatenate([gathered.reshape(-1, dims), own], 1)
         d = both @ np.concatenate([w["carry"], w["own"]])
         d += w["bias"]

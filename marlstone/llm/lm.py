@@ -120,6 +120,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 WORD, CELL, TEXT, DOCS = range(4)
+#: Text bytes whose words are looked up together: each distinct one once.
+AT_ONCE = 1 << 19
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -146,7 +148,7 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = docs = 0
         for batch in batches:
-            for i, j in chunks(batch.column(0)):
+            for i, j in chunks(batch.column(0), AT_ONCE):
                 w = Words(batch.column(0).slice(i, j - i), lower=True)
                 kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
                 parts.append((kinds, np.bincount(which, minlength=len(kinds))))
@@ -285,7 +287,7 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
         sub, own = _coder(coder), model.value
         hashes, seen = table.value
         for batch in batches:
-            for i, j in chunks(batch.column(1)):
+            for i, j in chunks(batch.column(1), AT_ONCE):
                 w = Words(batch.column(1).slice(i, j - i), lower=True)
                 kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
                 keys = kinds.view(np.int64)
