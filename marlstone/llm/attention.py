@@ -23,6 +23,11 @@ RUN = 8
 BATCH = 16
 PAD = 65535
 _GAP = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]
+#: The distance of each pair in sight, else 2 STRIDE; and as a matrix that sums pairs by distance.
+_FAR = np.where(_GAP >= 0, np.clip(_GAP, 0, 2 * STRIDE - 1), 2 * STRIDE)
+_BY_FAR = (_FAR.ravel()[:, None] == np.arange(2 * STRIDE)).astype(np.float32)
+#: Scores of attention and of classes are held within this, so that their powers and sums stay finite.
+MOST = 60
 
 
 @dataclass
@@ -52,98 +57,119 @@ class Attention:
         """The vectors with a last column of ones, whose weighted sum is the sum of the weights."""
         return np.concatenate([self.vectors, np.ones_like(self.vectors[:, :1])], 1)
 
+    def _stacked(self) -> np.ndarray:
+        """The weights of the classes' scores on what a token gathers, its vector, and one."""
+        w = self.weights
+        return np.concatenate([w["carry"], w["own"], w["bias"][None]])
+
     @staticmethod
     def mask(far: np.ndarray) -> np.ndarray:
         """(STRIDE, 2 STRIDE): the bias of each distance; later tokens are out of sight."""
-        return np.where(_GAP >= 0, far[np.clip(_GAP, 0, 2 * STRIDE - 1)], np.float32(-1e9)).astype(np.float32)
+        return np.take(np.append(far, -1e9).astype(np.float32), _FAR)
 
     @staticmethod
-    def _attend(queries: np.ndarray, seen: np.ndarray, mask: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(weights, their sums, gathered, windows): masked attention of runs of blocks. queries: runs x blocks x STRIDE x dims; seen: runs x (blocks + 1) STRIDE x (dims + 1), a block before the first; alone: whether a block begins a text and sees none before it."""
+    def _attend(queries: np.ndarray, seen: np.ndarray, mask: np.ndarray, alone: np.ndarray, out: np.ndarray, near: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, windows): masked attention of runs of blocks; what it gathers goes to out. queries: runs x blocks x STRIDE x dims; seen: runs x (blocks + 1) STRIDE x (dims + 1), a block before the first; alone: whether a block begins a text and sees none before it; near: whether no product can exceed MOST."""
         runs, blocks, _, dims = queries.shape
         a, b, c = seen.strides
-        windows_ = np.lib.stride_tricks.as_strided(seen, (runs, blocks, 2 * STRIDE, dims + 1), (a, STRIDE * b, b, c))
+        windows_ = np.ndarray((runs, blocks, 2 * STRIDE, dims + 1), seen.dtype, seen, 0, (a, STRIDE * b, b, c))
         p = np.matmul(queries, windows_[..., :dims].swapaxes(2, 3))
-        np.clip(p, -60, 60, out=p)
+        if not near:
+            np.clip(p, -MOST, MOST, out=p)
         p += mask
         p[alone, :, :STRIDE] = -1e9
         np.exp(p, out=p)
-        gathered = np.matmul(p, windows_)
-        total = gathered[..., dims:]
-        return p, total, gathered[..., :dims] / total, windows_
+        flat = p.reshape(-1, 2 * STRIDE)
+        flat *= (1 / (flat @ np.ones(2 * STRIDE, p.dtype)))[:, None]
+        np.matmul(p, windows_[..., :dims], out=out)
+        return p, windows_
+
+    def _ready(self) -> tuple:
+        """What score takes from the weights: tables by token, the classes' weights, the mask, and whether no product of attention and no score of a class can exceed MOST, whatever the texts."""
+        w = self.weights
+        queries, own = self.vectors @ w["match"], self.vectors @ w["own"] + w["bias"]
+        length = lambda x: float(np.sqrt((x * x).sum(1).max(initial=0)))
+        # what is gathered is a mean of vectors, so its score of a class is within theirs
+        most = np.abs(own).max(initial=0) + np.abs(self.vectors @ w["carry"]).max(initial=0)
+        room = 0.999 * MOST
+        return self._seen(), queries, self._stacked(), self.mask(w["far"]), self.within.ravel(), length(queries) * length(self.vectors) < room, most < room
 
-    def score(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, run: int = 256) -> np.ndarray:
+    def score(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, run: int = 128) -> np.ndarray:
         """Natural log probabilities (blocks x STRIDE), 0 where target is PAD.
 
         given: inputs of consecutive blocks; target: what follows each input. A
         block also sees the one before it, unless alone says that a text begins.
+        Where given is PAD, no target sees it, so any token may stand there.
         """
-        w, dims = self.weights, self.vectors.shape[1]
+        dims = self.vectors.shape[1]
         if self._tables is None:
-            self._tables = self._seen(), np.concatenate([self.vectors @ w["match"], self.vectors @ w["own"] + w["bias"]], 1), self.mask(w["far"]), self.within.ravel()
-        seen, here, mask, within = self._tables
-        inputs = np.concatenate([np.zeros_like(given[:1]), np.where(given == PAD, 0, given)])
-        real = target != PAD
-        safe = np.where(real, target, 0)
-        classes = self.classes[safe]
-        ones = np.ones(here.shape[1] - dims, np.float32)
+            self._tables = self._ready()
+        seen, queries, stacked, mask, within, near, low = self._tables
+        inputs = np.concatenate([np.zeros_like(given[:1]), given])
+        classes = np.take(self.classes, target, mode="clip")
+        number = stacked.shape[1]
+        ones = np.ones(number, stacked.dtype)
         out = np.empty(target.shape)
         for a in range(0, len(given), run):
             b = min(len(given), a + run)
             ids = inputs[a : b + 1].ravel()
-            own = np.take(here, ids[STRIDE:], 0, mode="clip")
-            _, _, gathered, _ = self._attend(own[:, :dims].reshape(1, b - a, STRIDE, dims), np.take(seen, ids, 0, mode="clip")[None], mask, alone[None, a:b])
-            logits = gathered.reshape(-1, dims) @ w["carry"]
-            logits += own[:, dims:]
-            np.clip(logits, -60, 60, out=logits)
-            chosen = np.take(logits, np.arange(len(logits)) * len(ones) + classes[a:b].ravel())
+            x = np.take(seen, ids, 0, mode="clip")
+            own = np.take(queries, ids[STRIDE:], 0, mode="clip")
+            both = np.empty((len(own), 2 * dims + 1), x.dtype)
+            both[:, dims:] = x[STRIDE:]
+            self._attend(own.reshape(1, b - a, STRIDE, dims), x[None], mask, alone[None, a:b], both.reshape(1, b - a, STRIDE, -1)[..., :dims], near)
+            logits = both @ stacked
+            if not low:
+                np.clip(logits, -MOST, MOST, out=logits)
+            chosen = np.take(logits, np.arange(0, logits.size, number) + classes[a:b].ravel())
             np.exp(logits, out=logits)
             out[a:b] = (chosen - np.log(logits @ ones)).reshape(b - a, STRIDE)
-        after = 0 if self.bucket is None else self.bucket[inputs[1:]]
-        out += np.take(within, safe * self.within.shape[1] + after)
-        out[~real] = 0
+        after = 0 if self.bucket is None else np.take(self.bucket, given, mode="clip")
+        out += np.take(within, target * self.within.shape[1] + after, mode="clip")
+        out[target == PAD] = 0
         return out
 
-    def gradients(self, before: np.ndarray, given: np.ndarray, target: np.ndarray, alone: np.ndarray, seen: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients of the mean class loss, and that loss. given, target: runs x blocks x STRIDE; before: the block before each run; seen: _seen()."""
+    def gradients(self, before: np.ndarray, given: np.ndarray, target: np.ndarray, alone: np.ndarray, seen: np.ndarray, losses: bool = True) -> tuple[dict[str, np.ndarray], float | None]:
+        """Gradients of the mean class loss, and that loss if asked for. given, target: runs x blocks x STRIDE; before: the block before each run; seen: _seen()."""
         w, dims = self.weights, self.vectors.shape[1]
         runs, blocks, _ = given.shape
-        ids = np.concatenate([before[:, None], given], 1).reshape(runs, -1)
-        x = np.take(seen, np.where(ids == PAD, 0, ids), 0, mode="clip")
-        own = x[:, STRIDE:, :dims].reshape(-1, dims)
-        queries = (own @ w["match"]).reshape(runs, blocks, STRIDE, dims)
-        p, sums, gathered, windows_ = self._attend(queries, x, self.mask(w["far"]), alone)
-        p /= sums
-        both = np.concatenate([gathered.reshape(-1, dims), own], 1)
-        d = both @ np.concatenate([w["carry"], w["own"]])
-        d += w["bias"]
-        np.clip(d, -60, 60, out=d)
+        x = np.take(seen, np.concatenate([before[:, None], given], 1).reshape(runs, -1), 0, mode="clip")
+        # for each token what it gathers, its vector, and one for the bias
+        both = np.empty((runs, blocks, STRIDE, 2 * dims + 1), x.dtype)
+        both.reshape(runs, -1, 2 * dims + 1)[..., dims:] = x[:, STRIDE:]
+        gathered = both[..., :dims]
+        both = both.reshape(-1, 2 * dims + 1)
+        own = both[:, dims:-1]
+        p, windows_ = self._attend((own @ w["match"]).reshape(runs, blocks, STRIDE, dims), x, self.mask(w["far"]), alone, gathered)
+        d = both @ self._stacked()
+        np.clip(d, -MOST, MOST, out=d)
         real = (target != PAD).ravel()
-        n = max(1, int(real.sum()))
-        at = np.arange(len(d)) * d.shape[1] + self.classes[np.where(target != PAD, target, 0)].ravel()
-        chosen = np.take(d, at)
+        n = max(1, int(np.count_nonzero(real)))
+        at = np.arange(0, d.size, d.shape[1]) + np.take(self.classes, target.ravel(), mode="clip")
+        chosen = np.take(d, at) if losses else None
         np.exp(d, out=d)
-        total = d @ np.ones(d.shape[1], np.float32)
-        loss = float((np.log(total) - chosen)[real].sum()) / n
-        share = (real / np.float32(n)).astype(np.float32)
+        total = d @ np.ones(d.shape[1], d.dtype)
+        loss = float((np.log(total) - chosen)[real].sum()) / n if losses else None
+        share = real * np.float32(1 / n)
         d *= (share / total)[:, None]
-        flat = d.reshape(-1)
-        flat[at] -= share
+        d.reshape(-1)[at] -= share
         outer = both.T @ d
-        up = (d @ w["carry"].T).reshape(queries.shape)
-        ds = np.matmul(up, windows_[..., :dims].swapaxes(2, 3))
-        ds -= (up * gathered).sum(3, keepdims=True)
+        # the windows' last column of ones takes off the mean slope of each token's weights
+        up = np.empty((len(d), dims + 1), d.dtype)
+        np.matmul(d, w["carry"].T, out=up[:, :dims])
+        np.einsum("ij,ij->i", up[:, :dims], both[:, :dims], out=up[:, dims])
+        np.negative(up[:, dims], out=up[:, dims])
+        ds = np.matmul(up.reshape(runs, blocks, STRIDE, dims + 1), windows_.swapaxes(2, 3))
         ds *= p
         met = np.matmul(ds, windows_[..., :dims]).reshape(-1, dims)
         by_gap = ds.reshape(-1, STRIDE * 2 * STRIDE)
-        by_gap = np.ones(len(by_gap), np.float32) @ by_gap
-        far = np.bincount(np.clip(_GAP, 0, 2 * STRIDE - 1)[_GAP >= 0], by_gap.reshape(STRIDE, 2 * STRIDE)[_GAP >= 0], 2 * STRIDE).astype(np.float32)
-        return {"match": own.T @ met, "carry": outer[:dims], "own": outer[dims:], "bias": np.ones(len(d), np.float32) @ d, "far": far}, loss
+        far = (np.ones(len(by_gap), d.dtype) @ by_gap @ _BY_FAR).astype(np.float32)
+        return {"match": own.T @ met, "carry": outer[:dims], "own": outer[dims:-1], "bias": outer[-1], "far": far}, loss
 
     def train(self, given: np.ndarray, target: np.ndarray, alone: np.ndarray, *, rate: float, passes: int = 1, batch: int = BATCH, seed: int = 0) -> dict[str, np.ndarray]:
         """Weights after Adam over all windows of consecutive blocks, in batches of so many runs in a shuffled order."""
         rng = np.random.default_rng(seed)
-        model = self.with_weights({k: v.copy() for k, v in self.weights.items()})
+        model = self.with_weights(self.weights)
         seen = self._seen()
         fill = -len(given) % RUN
         given, target = (np.concatenate([x, np.full((fill, STRIDE), PAD, x.dtype)]) for x in (given, target))
@@ -152,19 +178,22 @@ class Attention:
         given, target, alone = given.reshape(-1, RUN, STRIDE), target.reshape(-1, RUN, STRIDE), alone.reshape(-1, RUN)
         if len(alone):
             alone[0, 0] = True
-        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        # all weights in a row; the model's are parts of it
+        flat = np.concatenate([v.ravel() for v in model.weights.values()])
+        ends = np.cumsum([v.size for v in model.weights.values()])[:-1]
+        model.weights = {k: part.reshape(v.shape) for (k, v), part in zip(model.weights.items(), np.split(flat, ends))}
+        mean, square = np.zeros_like(flat), np.zeros_like(flat)
         step = 0
         for _ in range(passes):
             order = rng.permutation(len(given))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
-                slopes, _ = model.gradients(before[own], given[own], target[own], alone[own], seen)
+                slopes, _ = model.gradients(*(np.take(x, own, 0) for x in (before, given, target, alone)), seen, losses=False)
                 step += 1
-                for name, g in slopes.items():
-                    mean[name] += np.float32(0.1) * (g - mean[name])
-                    square[name] += np.float32(0.01) * (g * g - square[name])
-                    model.weights[name] = (model.weights[name] - rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                g = np.concatenate([slopes[name].ravel() for name in model.weights])
+                mean += np.float32(0.1) * (g - mean)
+                square += np.float32(0.01) * (g * g - square)
+                flat -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         return model.weights
 
 

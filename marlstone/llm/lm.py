@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -54,7 +55,11 @@ class Training:
 
 
 class Subwords:
-    """Subword ids of words by a public SentencePiece file; a worker keeps the words it has seen, up to a bound."""
+    """Subword ids of words by a public SentencePiece file; a worker keeps the words it has seen, up to a bound.
+
+    A word has a slot, found from its hash by open addressing in arrays, so that all
+    words of a chunk are looked up at once and a word held takes some 40 bytes.
+    """
 
     KEEP = 800_000
 
@@ -62,14 +67,22 @@ class Subwords:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.processor.get_piece_size()
         self.start, self.end = self.processor.bos_id(), self.processor.eos_id()
+        self.turn = 0
         self._clear()
 
     def _clear(self) -> None:
-        """Slot 0 is the end token; a slot's ids are length of them from begin in pool. The arrays have room to grow."""
-        self.slots: dict[int, int] = {}
+        """Slot 0 is the end token; a slot's ids are length of them from begin in pool. The arrays have room to grow. place: the slot at each position, 0 where none is. turn: how often slots were given anew."""
+        self.turn += 1
+        self.place, self.bits = np.zeros(1 << 16, np.int32), 16
+        self.keys = np.zeros(1 << 14, np.uint64)
         self.pool, self.used = np.full(1 << 16, self.end, np.uint16), 1
         self.begin, self.length, self.known = np.zeros(1 << 14, np.int32), np.ones(1 << 14, np.int32), 1
 
+    @property
+    def full(self) -> bool:
+        """Whether the next call of slots gives slots anew."""
+        return self.known > self.KEEP
+
     @staticmethod
     def _put(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
         if used + len(more) > len(held):
@@ -77,34 +90,95 @@ class Subwords:
         held[used : used + len(more)] = more
         return held
 
-    def of(self, w: Words, kinds: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes): the ids of each text's words, then the end token. kinds, at, which: np.unique of the words' hashes."""
-        if len(self.slots) > self.KEEP:
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, 0 for unknown ones."""
+        at = self._home(hashes)
+        slot = np.take(self.place, at)
+        left = np.flatnonzero((np.take(self.keys, slot) != hashes) & (slot > 0))
+        at, own = at[left], hashes[left]
+        while len(left):
+            at = (at + 1) & (len(self.place) - 1)
+            got = self.place[at]
+            slot[left] = got
+            more = (self.keys[got] != own) & (got > 0)
+            left, at, own = left[more], at[more], own[more]
+        return slot
+
+    def _place(self, slots: np.ndarray) -> None:
+        """Enter slots, whose keys are set and not entered yet."""
+        at = self._home(self.keys[slots])
+        while len(slots):
+            free = self.place[at] == 0
+            self.place[at[free]] = slots[free]
+            lost = self.place[at] != slots
+            slots, at = slots[lost], (at[lost] + 1) & (len(self.place) - 1)
+
+    def slots(self, w: Words, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each word; hashes: the words'."""
+        if self.full:
             self._clear()
-        slot = np.fromiter(map(self.slots.get, kinds.tolist(), itertools.repeat(-1)), np.int64, len(kinds))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
+        slot = self._find(hashes)
+        missing = np.flatnonzero(slot == 0)
+        if len(missing):
+            kinds, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            at = missing[at]
             data = w.data.tobytes()
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist())]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
             coded = self.processor.encode(texts, num_threads=1)
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             n = int(sizes.sum())
-            slot[new] = self.known + np.arange(len(new))
+            new = np.arange(self.known, self.known + len(kinds), dtype=np.int32)
+            slot[missing] = new[which]
+            self.keys = self._put(self.keys, self.known, kinds)
             self.begin = self._put(self.begin, self.known, self.used + np.cumsum(sizes) - sizes)
             self.length = self._put(self.length, self.known, sizes)
             self.pool = self._put(self.pool, self.used, np.fromiter(itertools.chain.from_iterable(coded), np.uint16, n))
             self.known, self.used = self.known + len(new), self.used + n
-            self.slots.update(zip(kinds[new].tolist(), slot[new].tolist()))
-        units = np.insert(slot[which], w.first[1:], 0)
-        size = self.length[units].astype(np.int64)
+            if 2 * self.known > len(self.place):
+                # at most half of the positions are taken
+                self.bits = (2 * self.known).bit_length() + 1
+                self.place, new = np.zeros(1 << self.bits, np.int32), np.arange(1, self.known, dtype=np.int32)
+            self._place(new)
+        return slot
+
+    def of(self, w: Words, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of each text's words, then the end token."""
+        units = np.insert(slots, w.first[1:], 0)
+        size = np.take(self.length, units).astype(np.int64)
         stop = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[units] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(np.int32)
+        ids = np.take(self.pool, np.repeat(np.take(self.begin, units) - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)).astype(np.int32)
         last = np.cumsum(w.counts + 1) - 1
         upto = stop[last] if len(last) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate(([0], upto)))
 
 
+class Counts:
+    """log10 of one more than the count of each slot's word in a table (hashes in order, counts), 0 where the table has none, and whether it has one; each slot is looked up once."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+        self.turn = -1
+
+    def of(self, sub: Subwords, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.turn != sub.turn:
+            self.turn, self.done, self.logs, self.found = sub.turn, 0, np.zeros(0), np.zeros(0, bool)
+        if self.done < sub.known:
+            keys = sub.keys[self.done : sub.known].view(np.int64)
+            place = np.minimum(np.searchsorted(self.hashes, keys), max(0, len(self.hashes) - 1))
+            found = self.hashes[place] == keys if len(self.hashes) else np.zeros(len(keys), bool)
+            logs = np.zeros(len(keys))
+            logs[found] = np.log10(self.counts[place[found]] + 1.0)
+            self.logs, self.found = Subwords._put(self.logs, self.done, logs), Subwords._put(self.found, self.done, found)
+            self.done = sub.known
+        return np.take(self.logs, slots), np.take(self.found, slots)
+
+
 _CODERS: dict[int, Subwords] = {}
+#: The counts of the call a worker last served.
+_COUNTS: dict[str, Counts] = {}
 
 
 def _coder(shared) -> Subwords:
@@ -114,6 +188,13 @@ def _coder(shared) -> Subwords:
     return _CODERS[key]
 
 
+def _counts(call: str, table) -> Counts:
+    if call not in _COUNTS:
+        _COUNTS.clear()
+        _COUNTS[call] = Counts(*table.value)
+    return _COUNTS[call]
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Documents whose crc32 of the id as text leaves 2 when divided by 7 are not learnt from. A null id counts as an empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 7 == 2
@@ -128,12 +209,6 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids.astype(np.int64) * 40503 >> 7) % buckets
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    kinds, which = np.unique(keys, return_inverse=True)
-    return kinds, np.bincount(which, counts, len(kinds)).astype(np.int64)
-
-
 def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
     """(kind, key, n, ids) of the training documents: counts by word hash, counts by cell (token, side, bucket of the neighbour), each text's ids, documents."""
 
@@ -144,30 +219,33 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
         sub = _coder(coder)
         # at most one count for each token of a partition's texts, so 32 bits are enough below 2**31 of them
         cells = np.zeros(sub.size * 2 * how.buckets, np.int32)
-        counted = 0
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = docs = 0
+        bucket = bucket_of(np.arange(sub.size), how.buckets).astype(np.int32)
+        words = np.zeros(sub.known, np.int64)  # by slot
+        counted = docs = 0
+
+        def counted_words() -> pa.RecordBatch:
+            some = np.flatnonzero(words)
+            return batch_of(WORD, sub.keys[some], words[some])
+
         for batch in batches:
             for i, j in chunks(batch.column(0), AT_ONCE):
                 w = Words(batch.column(0).slice(i, j - i), lower=True)
-                kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
-                parts.append((kinds, np.bincount(which, minlength=len(kinds))))
-                held += len(kinds)
                 docs += j - i
-                if held > 600_000:
-                    merged = _merged(parts)
-                    if len(merged[0]) > 300_000:
-                        yield batch_of(WORD, *merged)
-                        merged = (merged[0][:0], merged[1][:0])
-                    parts, held = [merged], len(merged[0])
-                ids, sizes = sub.of(w, kinds, at, which)
+                if sub.full:
+                    yield counted_words()
+                    words = words[:0]
+                slots = sub.slots(w, w.word_hashes())
+                if len(words) < sub.known:
+                    words = np.concatenate([words, np.zeros(sub.known + len(sub.keys) - len(words), np.int64)])
+                np.add.at(words, slots, 1)
+                ids, sizes = sub.of(w, slots)
                 ends = np.cumsum(sizes)
                 before = np.concatenate(([sub.start], ids[:-1]))
                 before[(ends - sizes)] = sub.start
                 after = np.concatenate((ids[1:], [sub.start]))
                 after[ends - 1] = sub.start
                 for side, near in enumerate((before, after)):
-                    np.add.at(cells, (ids * 2 + side) * how.buckets + bucket_of(near, how.buckets), np.int32(1))
+                    np.add.at(cells, (ids * 2 + side) * how.buckets + np.take(bucket, near), np.int32(1))
                 counted += len(ids)
                 if counted > 1 << 30:
                     some = np.flatnonzero(cells)
@@ -176,8 +254,8 @@ def _gather(documents: DataFrame, coder, how: Training) -> DataFrame:
                 upto = np.concatenate(([0], 2 * ends)).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(upto), pa.py_buffer(ids.astype(np.uint16))])
                 yield batch_of(TEXT, np.zeros(len(sizes), np.int64), sizes, packed)
-        if parts:
-            yield batch_of(WORD, *_merged(parts))
+        if docs:
+            yield counted_words()
         some = np.flatnonzero(cells)
         if len(some):
             yield batch_of(CELL, some, cells[some])
@@ -282,29 +360,26 @@ def score_documents(documents: DataFrame, *, how: Training = Training(), model_p
     model = context.broadcast(train_attention(gathered, subwords.size, subwords.start, how))
     scratch.free(gathered)
     end_log = math.log10(docs + 1)
+    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub, own = _coder(coder), model.value
-        hashes, seen = table.value
+        seen = _counts(call, table)
         for batch in batches:
             for i, j in chunks(batch.column(1), AT_ONCE):
                 w = Words(batch.column(1).slice(i, j - i), lower=True)
-                kinds, at, which = np.unique(w.word_hashes(), return_index=True, return_inverse=True)
-                keys = kinds.view(np.int64)
-                place = np.minimum(np.searchsorted(hashes, keys), max(0, len(hashes) - 1))
-                found = hashes[place] == keys if len(hashes) else np.zeros(len(keys), bool)
-                logs = np.zeros(len(keys))
-                logs[found] = np.log10(seen[place[found]] + 1.0)
-                hit = found[which]
+                hashes = w.word_hashes()
+                slots = sub.slots(w, hashes)
+                logs, hit = seen.of(sub, slots)
                 n = len(w.counts)
-                base = np.bincount(w.row, logs[which], n) + end_log
+                base = np.bincount(w.row, logs, n) + end_log
                 known = np.bincount(w.row[hit], minlength=n) + (docs > 0)
                 rest = np.flatnonzero(~hit)
                 first = np.concatenate(([0], np.cumsum(np.bincount(w.row[rest], minlength=n)))).astype(np.int32)
-                ids, sizes = sub.of(w, kinds, at, which)
+                ids, sizes = sub.of(w, slots)
                 given, target, alone, text = attention.windows(ids, sizes, sub.start)
                 score = np.bincount(text, own.score(given, target, alone).sum(1), n) / math.log(10)
-                tail = pa.ListArray.from_arrays(pa.array(first), pa.array(keys[which[rest]]))
+                tail = pa.ListArray.from_arrays(pa.array(first), pa.array(hashes[rest].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), tail], names=["doc_id", "n_tokens", "known", "logs", "score", "tail"])
 
     scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, score double, tail array<long>")

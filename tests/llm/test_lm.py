@@ -1,15 +1,20 @@
 """Language-model scoring: counts against plain Python, windows and gradients, held-out accuracy."""
 
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
 from marlstone.llm import lm, registry
-from marlstone.llm.attention import PAD, STRIDE, Attention, windows, within_classes
+from marlstone.llm.attention import MOST, PAD, STRIDE, Attention, windows, within_classes
+from marlstone.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -156,3 +161,97 @@ def test_untrained_classes_keep_their_frequencies(spark):
     docs = spark.createDataFrame([(d, t) for d in range(20) for t in ("one two three four", "four three one two")], "doc_id long, text string")
     got = {r.score for r in lm.score_documents(docs, how=lm.Training(rounds=0, prior=1e12)).collect()}
     assert max(got) - min(got) < 1e-4
+
+
+def subwords():
+    return lm.Subwords(Path(lm.DEFAULT_MODEL).read_bytes())
+
+
+def test_words_are_found_whatever_their_hashes():
+    """Equal leading bits, the hash 0, arrays that grow, slots given anew: ids stay those of the library."""
+    rng = np.random.default_rng(9)
+    sub = subwords()
+    for kinds, make in ((50_000, None), (2000, lambda k: k), (20_000, lambda k: k % np.uint64(3000) << np.uint64(52) | k)):
+        number = rng.integers(0, kinds, 60_000).astype(np.uint64)
+        some = [f"w{k}x{k % 7}" for k in number.tolist()]
+        w = Words(pa.array([" ".join(some), None, "", some[0]]))
+        hashes = make(np.append(number, number[0])) if make else w.word_hashes()
+        sub._clear()
+        want = [[*itertools.chain.from_iterable(sub.processor.encode(text.split())), sub.end] for text in (" ".join(some), "", "", some[0])]
+        for _ in range(2):
+            slots = sub.slots(w, hashes)
+            ids, sizes = sub.of(w, slots)
+            assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [*itertools.chain.from_iterable(want)]
+            assert len(np.unique(slots)) == len(set(some)) == sub.known - 1 and 2 * sub.known <= len(sub.place)
+
+
+def test_known_words_cost_less_than_sorting_them():
+    rng = np.random.default_rng(10)
+    words = np.array([f"w{k}" for k in range(40_000)])
+    w = Words(pa.array([" ".join(words[(40_000 * rng.random(80_000) ** 2).astype(int)])]))
+    hashes, sub = w.word_hashes(), subwords()
+    sub.slots(w, hashes)
+
+    def best(f):
+        times = []
+        for _ in range(7):
+            start = time.perf_counter()
+            f()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert best(lambda: sub.slots(w, hashes)) < best(lambda: np.unique(hashes, return_index=True, return_inverse=True))
+
+
+def test_counts_survive_slots_given_anew(spark, monkeypatch):
+    """Word counts of a partition and of the scores, with room for few words."""
+    monkeypatch.setattr(lm.Subwords, "KEEP", 300)
+    monkeypatch.setattr(lm, "AT_ONCE", 2000)
+    monkeypatch.setattr(lm, "_CODERS", {})
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 900, 120)) for _ in range(60)] + ["", None]
+    frame = SimpleNamespace(mapInArrow=lambda run, _: run)
+    frame.filter = frame.select = lambda *_: frame
+    run = lm._gather(frame, SimpleNamespace(value=Path(lm.DEFAULT_MODEL).read_bytes()), lm.Training(buckets=4))
+    got, docs = Counter(), 0
+    for batch in run(iter([pa.record_batch([pa.array(texts)], ["text"])])):
+        for kind, key, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if kind == lm.WORD:
+                got[key] += n
+            docs += n if kind == lm.DOCS else 0
+    all_words = " ".join(t or "" for t in texts)
+    hashes = Words(pa.array([all_words])).word_hashes().view(np.int64).tolist()
+    assert got == Counter(hashes) and docs == len(texts)
+    kept = sorted(got)[::2]
+    counts = lm.Counts(np.array(kept), np.array([got[k] for k in kept]))
+    (sub,) = lm._CODERS.values()
+    for text in texts[:60]:
+        w = Words(pa.array([text]))
+        own = w.word_hashes()
+        logs, found = counts.of(sub, sub.slots(w, own))
+        want = [math.log10(got[k] + 1) if k in set(kept) else 0.0 for k in own.view(np.int64).tolist()]
+        assert np.allclose(logs, want) and found.tolist() == [x > 0 for x in want]
+
+
+def test_each_known_word_is_counted_up_once(monkeypatch):
+    sub, looked = subwords(), []
+    w = Words(pa.array(["one two three one"]))
+    counts = lm.Counts(np.sort(w.word_hashes().view(np.int64))[:2], np.array([1, 2]))
+    search = np.searchsorted
+    monkeypatch.setattr(lm.np, "searchsorted", lambda a, v, *rest: looked.append(len(v)) or search(a, v, *rest))
+    for _ in range(3):
+        counts.of(sub, sub.slots(w, w.word_hashes()))
+    assert sum(looked) == 4  # three words and the end
+
+
+def test_scores_are_held_within_bounds_only_where_they_may_pass_them():
+    rng = np.random.default_rng(12)
+    ids, sizes = rng.integers(2, 300, 400).astype(np.int32), np.array([250, 0, 150])
+    for scale, free in ((1, True), (300, False)):
+        model = small_model(rng)
+        model.weights = {k: v * scale for k, v in model.weights.items()}
+        given, target, alone, _ = windows(ids, sizes, 1)
+        got = model.score(given, target, alone)
+        assert model._tables[-2:] == (free, free) and np.isfinite(got).all() and (got >= -2 * MOST - 1 - math.log(6)).all()
+        model._tables = (*model._tables[:-2], False, False)
+        assert np.allclose(got, model.score(given, target, alone), atol=1e-9)
