@@ -7,8 +7,9 @@ tokens. The best path is then read backwards.
 
 No piece of such a vocabulary holds a space mark after another character, so the
 best path of a text is the best paths of its space-led parts, one after another.
-Parts recur, so a worker keeps those it has solved, up to a bound. Where a model
-does have such a piece, whole texts are solved.
+Parts recur, so a worker keeps those it has solved, up to a bound; encode_documents
+frees them when its task ends. Where a model does have such a piece, whole texts are
+solved.
 """
 
 from __future__ import annotations
@@ -153,6 +154,11 @@ class PieceModel:
             at = start
         return out[::-1]
 
+    def forget(self) -> None:
+        """Frees the solved parts. They are solved again when met."""
+        if self._ready is not None:
+            self._ready[5].empty()
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian int32."""
         if not text:
@@ -189,6 +195,10 @@ class _Solved(dict):
     def __init__(self, model: PieceModel):
         self.model, self.old = model, {}
 
+    def empty(self) -> None:
+        self.old = {}
+        self.clear()
+
     def __missing__(self, part: str) -> bytes:
         out = self.old.get(part)
         if out is None:
@@ -222,16 +232,20 @@ def encode_documents(documents: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(shared)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                rows = [None if t is None else own.encode_bytes(t) for t in texts]
-                first = np.zeros(len(rows) + 1, np.int32)
-                np.cumsum([len(r or b"") // 4 for r in rows], out=first[1:])
-                values = np.frombuffer(b"".join(r or b"" for r in rows), "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(first), pa.array(values), mask=pa.array([r is None for r in rows]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, "ids"])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    texts = part.column(part.num_columns - 1).to_pylist()
+                    rows = [None if t is None else own.encode_bytes(t) for t in texts]
+                    first = np.zeros(len(rows) + 1, np.int32)
+                    np.cumsum([len(r or b"") // 4 for r in rows], out=first[1:])
+                    values = np.frombuffer(b"".join(r or b"" for r in rows), "<i4")
+                    ids = pa.ListArray.from_arrays(pa.array(first), pa.array(values), mask=pa.array([r is None for r in rows]))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, "ids"])
+        finally:
+            # Spark keeps idle workers, and other operators run in them
+            own.forget()
 
     schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)

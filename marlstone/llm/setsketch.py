@@ -285,6 +285,47 @@ def _likely_groups(rows: DataFrame, classes: DataFrame, sketch: Sketch, threshol
     return by_group(tiles, ["key", "i", "j"], compare, "node long, root long").distinct()
 
 
+#: Columns of shared shingles, and pairs of rows, that linked_rows holds at once as a matrix.
+SLAB, BLOCK_PAIRS = 1024, 1 << 18
+
+
+def linked_rows(hashes: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Least row reachable of each row, by links of a row in left with one in right: 100 * intersection >= percent * union of their sets. hashes: the sets one after another; size: theirs.
+
+    Counts are exact. A pair takes four bytes; everything else is of a slab or block of pairs, or of the shingles.
+    """
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order]
+    same = same[1:] == same[:-1]
+    # shingles of one row only count in no intersection
+    shared = np.zeros(len(order), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    first = np.ones(len(order), bool)
+    first[1:] = ~same
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[order[shared]]
+    column = np.cumsum(first[shared], dtype=np.int32) - 1
+    del order, same, shared, first
+    block = max(1, BLOCK_PAIRS // max(1, len(right)))
+    blocks = [slice(a, a + block) for a in range(0, len(left), block)]
+    common = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + SLAB, SLAB))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        dense = np.zeros((len(size), SLAB), np.float32)
+        dense[row[a:b], column[a:b] % SLAB] = 1
+        across = dense[right].T
+        for part in blocks:
+            common[part] += dense[left[part]] @ across
+    root = np.arange(len(size))
+    for part in blocks:
+        both = np.rint(common[part]).astype(np.int64)
+        i, j = np.nonzero(100 * both >= percent * (size[left[part]][:, None] + size[right][None, :] - both))
+        i, j = root[left[part][i]], root[right[j]]
+        apart = i != j
+        root = roots(len(size), i[apart], j[apart])[root]
+    return root
+
+
 def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """From (node, coarse, component): edges (a, b) that span all exact links between nodes of a group but of different components, from tiles in which full sets are counted against each other."""
     sets = _sets_of(documents, groups.select("node"), n)
@@ -299,25 +340,8 @@ def _linked_in_groups(groups: DataFrame, classes: DataFrame, documents: DataFram
         same = number("i")[0] == number("j")[0]
         left = np.flatnonzero(number("side") == 0)
         right = left if same else np.flatnonzero(number("side") == 1)
-        size = number("n")
-        _, column, times = np.unique(col["hashes"].flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
-        row = np.repeat(np.arange(len(size)), size)
-        row, column = row[shared >= 0], shared[shared >= 0]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(left), len(right)), np.float32)
-        slab = 1024
-        cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + slab, slab))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            dense = np.zeros((len(size), slab), np.float32)
-            dense[row[a:b], column[a:b] % slab] = 1
-            common += dense[left] @ dense[right].T
-        common = np.rint(common).astype(np.int64)
-        linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
-        i, j = np.nonzero(linked)
-        node = number("node")
-        root = roots(len(size), left[i], right[j])
+        node, size = number("node"), number("n")
+        root = linked_rows(col["hashes"].flatten().to_numpy(), size, left, right, percent)
         # a root is a row of this tile, so (node, node of the root) is a chain of links
         moved = root != np.arange(len(size))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"]) if moved.any() else None

@@ -80,3 +80,27 @@ def test_tables(spark):
     back = pieces.decode_documents(encoded, MODEL)
     assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
     assert pieces.round_trip(docs.limit(0), MODEL).count() == 0 and pieces.encode_documents(docs.limit(0), MODEL).count() == 0
+
+
+def test_idle_workers_hold_no_solved_parts(spark):
+    """Spark keeps a worker for the tasks of other operators, which then have less memory."""
+    docs = spark.createDataFrame([(k, " ".join(f"word{k * 100 + i}" for i in range(100))) for k in range(50)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from marlstone.llm import pieces as own
+
+        for _ in batches:
+            pass
+        solved = [m.ready()[5] for m in own._MODELS.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([len(solved)]), pa.array([sum(len(s) + len(s.old) for s in solved)])], names=["models", "parts"])
+
+    for _ in range(3):
+        encoded = pieces.encode_documents(docs, MODEL).collect()
+        assert all(MODEL.decode(r.ids) == " ".join(f"word{r.doc_id * 100 + i}" for i in range(100)) for r in encoded)
+        rows = spark.range(0, 1, 1, 1).mapInArrow(held, "models long, parts long").collect()
+        assert all(r.parts == 0 for r in rows)
+        if any(r.models for r in rows):
+            return
+    raise AssertionError("no worker was used again")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -152,3 +153,32 @@ def test_small_tiles_give_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "SIDE_ROWS", 6)
     got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, n=2).collect()}
     assert got == plain_near(rows, 2, 80) and len(set(got.values())) > 12
+
+
+def test_linked_rows_match_plain_sets(monkeypatch):
+    monkeypatch.setattr(setsketch, "SLAB", 7)
+    monkeypatch.setattr(setsketch, "BLOCK_PAIRS", 40)
+    rng = random.Random(9)
+    for round_ in range(30):
+        base = [rng.getrandbits(62) - 2**61 for _ in range(25)]
+        sets = [sorted({x if rng.random() < 0.9 else rng.choice(base) + k for x in rng.sample(base, rng.randint(1, 25))}) for k in range(rng.randint(1, 40))]
+        cut = rng.randint(0, len(sets))
+        left, right = (np.arange(len(sets)),) * 2 if round_ % 2 else (np.arange(cut), np.arange(cut, len(sets)))
+        links = [(i, j) for i in left.tolist() for j in right.tolist() if 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})]
+        want = plain_components(range(len(sets)), links)
+        hashes = np.array([x for s in sets for x in s], np.int64)
+        assert setsketch.linked_rows(hashes, np.array([len(s) for s in sets]), left, right, 80).tolist() == [want[k] for k in range(len(sets))]
+
+
+def test_a_full_tile_of_linked_rows_stays_small():
+    # the matrix of counts is 17 MB; lists of all linked pairs took 330 MB
+    side, size = setsketch.SIDE_ROWS, 100
+    rng = np.random.default_rng(3)
+    sets = np.tile(np.arange(size), (2 * side, 1))
+    sets[:, 0] = rng.integers(1000, 2**40, 2 * side)
+    tracemalloc.start()
+    root = setsketch.linked_rows(sets.ravel(), np.full(2 * side, size), np.arange(side), np.arange(side, 2 * side), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all()
+    assert peak < 120e6, peak
